@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -48,6 +54,59 @@ LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, RULES, named, scanned
+
+    def at(i: int):
+        return lambda s: s["place"] == i
+
+    base = F.filter("spans", lambda s: s["place"] < len(BASE))
+    counts = [F.size(F.filter("spans", at(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    return scanned(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(named(base, RULES), 256).alias("base_sha256"), named(F.col("spans"), RULES).alias("spans"))
+
+
+def _op4_sql() -> str:
+    from .secrets import BASE, RULES
+
+    parts = []
+    for i, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, '{r.kind}' AS kind, {i} AS place, s, s + length(hits[k]) AS e FROM (
+    SELECT doc_id, k, hits, parts, (list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0))::BIGINT AS s
+    FROM (SELECT doc_id, hits, gaps, parts, unnest(range(1, len(hits) + 1)) AS k FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS hits, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', {r.group}) AS parts FROM d
+    ))
+  ) WHERE length(parts[k]) >= {max(r.least, 1)}""")
+    counts = ", ".join(f"count(*) FILTER (place = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({" UNION ALL ".join(parts)}
+), digests AS (SELECT doc_id, {counts}, {joined} FILTER (place < {len(BASE)}) AS base, {joined} AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN digests USING (doc_id)"""
+
+
+OP4_SQL = _op4_sql()
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
