@@ -40,11 +40,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again, so that a lost executor costs a reread."""
+#: Narrow rows of a part of a table that written() is told the size of.
+PART_ROWS = 250_000
+
+
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it again, so that a lost executor costs a reread.
+
+    rows: a bound of df's rows if they are narrow; a small table is then made and written in few parts.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // PART_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,7 +103,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     now = written(_canonical(edges.select("a", "b")), tag)
     mark = _mark(now)
     while mark[0]:
-        now = written(_small_star(_large_star(now)), tag)
+        now = written(_small_star(_large_star(now, mark[0])), tag, mark[0])
         after = _mark(now)
         if after == mark:
             break
@@ -115,14 +122,13 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star")
-    return _canonical(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", 2 * rows)
+    return written(_canonical(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "star", rows)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    edges = written(edges, "star")
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     joined = edges.join(least, "a")
     return _canonical(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))

@@ -31,7 +31,9 @@ from .kernels import U, shingle_sets, stream
 #: Positions of the sketch, minwise tokens for paths, trees, branches of a node.
 SKETCH, TOKENS, TREES, BRANCHES = 128, 16, 4, 2
 #: Members of a node up to which it is compared exhaustively, levels under the root, members of a block of the rest.
-SMALL, DEPTH, BLOCK = 1024, 3, 512
+SMALL, DEPTH, BLOCK = 4096, 4, 2048
+#: Shingles of a component up to which one task compares it whole, and of a block of a larger one.
+WHOLE = 4_000_000
 #: A pair passes the sketch if its agreement is at most so many standard deviations under the threshold.
 DEVIATIONS = 4.0
 
@@ -115,26 +117,23 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """A forest over representatives that joins all pairs which share a node and pass the sketch."""
     roots = F.array(*[F.struct(F.xxhash64(F.lit(t), F.lit(k), F.col("tokens")[t * BRANCHES + k]).alias("node")) for t in range(TREES) for k in range(BRANCHES)])
     level = reps.select("doc_id", F.explode(roots).alias("n")).select("doc_id", "n.node")
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
-    out = []
+    rows = reps.count() * TREES * BRANCHES
+    ready = None
     for depth in range(DEPTH + 1):
-        level = written(level, "level")
-        size = written(level.groupBy("node").count().where("count > 1"), "nodes")
-        shared = level.join(size, "node")
-        last = depth == DEPTH
+        size = written(level.groupBy("node").count().where("count > 1"), "nodes", rows)
+        shared = written(level.join(size, "node"), "level", rows)
+        rows = shared.where(F.col("count") > SMALL).count() if depth < DEPTH else 0
         blocks = F.when(F.col("count") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("count") / BLOCK)).cast("int")
-        ready = shared if last else shared.where(F.col("count") <= SMALL)
-        ready = in_blocks(ready.withColumn("blocks", blocks), "node").join(sketches, "doc_id")
-        out.append(by_group(ready.select("node", "doc_id", "n_shingles", "sketch"), "node", _node_edges(threshold), "a long, b long"))
-        if last or not size.where(F.col("count") > SMALL).limit(1).count():
+        compared = (shared.where(F.col("count") <= SMALL) if rows else shared).select("node", "doc_id", blocks.alias("blocks"))
+        ready = compared if ready is None else ready.unionByName(compared)
+        if not rows:
             break
         large = shared.where(F.col("count") > SMALL).select("node", "doc_id").join(reps.select("doc_id", "tokens"), "doc_id")
         picks = F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS)).cast("int") for k in range(BRANCHES)])
         level = large.select("doc_id", "node", "tokens", F.explode(F.array_distinct(picks)).alias("at")).select("doc_id", F.xxhash64("node", "at", F.col("tokens")[F.col("at")]).alias("node"))
-    edges = out[0]
-    for more in out[1:]:
-        edges = edges.unionByName(more)
-    return edges
+        rows *= BRANCHES
+    members = in_blocks(ready, "node").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    return by_group(members.select("node", "doc_id", "n_shingles", "sketch"), "node", _node_edges(threshold), "a long, b long")
 
 
 def in_blocks(rows: DataFrame, key: str) -> DataFrame:
@@ -207,24 +206,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(signed(docs), "signed")
-    classes = written(every.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
+    total = every.count()
+    classes = written(every.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes", total)
     chosen = every.where("digest is not null").join(classes, "digest").where("doc_id = class_id").dropDuplicates(["digest"])
-    reps = written(chosen.select("doc_id", "n_shingles", "sketch", "tokens"), "reps")
-    near = written(components(candidate_edges(reps, percent / 100), "candidates"), "near")
-    size = near.groupBy("component").agg(F.count("*").alias("n"))
-    size = size.withColumn("blocks", F.when(F.col("n") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n")
-    members = written(near.join(written(size, "sizes"), "component").select(F.col("id").alias("doc_id"), "component", "blocks"), "members")
+    reps = written(chosen.select("doc_id", "n_shingles", "sketch", "tokens"), "reps", 20 * total)
+    known = reps.count()
+    near = written(components(candidate_edges(reps, percent / 100), "candidates"), "near", known)
+    vertices = near.withColumnRenamed("id", "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id")
+    size = vertices.groupBy("component").agg(F.sum("n_shingles").alias("n"))
+    size = size.withColumn("blocks", F.when(F.col("n") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / WHOLE)).cast("int")).drop("n")
+    members = written(near.join(written(size, "sizes", known), "component").select(F.col("id").alias("doc_id"), "component", "blocks"), "members", known)
     texts = docs.join(small_side(members), "doc_id").select("doc_id", "component", "blocks", "text")
     sets = in_blocks(_with_sets(texts), "component")
     exact = by_group(sets, "component", _exact_edges(percent), "a long, b long", rows=1024)
-    found = written(components(exact, "links"), "linked")
+    found = written(components(exact, "links"), "linked", known)
     classes = classes.join(found, classes.class_id == found.id, "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = every.select("doc_id", "n_shingles", "digest").join(written(classes, "class"), "digest", "left")
+    out = every.select("doc_id", "n_shingles", "digest").join(written(classes, "class", known), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the rows whose near-duplicate component has a smaller doc_id."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = small_side(written(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
     return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
