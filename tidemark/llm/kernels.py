@@ -5,7 +5,7 @@ Words are the maximal runs outside the bytes 0x20 and 0x09-0x0D, with A-Z lower-
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +74,11 @@ def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]
         first = last
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(offsets: np.ndarray, data: np.ndarray, more: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, text's first word [n + 1], start byte, end byte), texts of a piece together.
 
     A long text is hashed in parts cut at white space, so memory stays near a multiple of PIECE whatever its length,
-    unless a single word is longer.
+    unless a single word is longer. more: tells of lower-cased bytes which of them start a word within a run.
     """
     hashes, starts, ends = [], [], []
     base, total = 0, len(data)
@@ -104,6 +104,8 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
         cuts = offsets[lo:hi] - base
         cuts = cuts[(cuts >= 0) & (cuts < len(part))]
         begin[cuts] |= inside[cuts]
+        if more is not None:
+            begin |= more(part) & inside
         s = np.flatnonzero(begin)
         if len(s):
             letters = part[inside]

@@ -22,34 +22,141 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .kernels import U, pieces, text_buffers, words
 
-#: Tokens of a sequence; id that ends a document; strings that a worker's cache holds; pieces of a rank group.
-CAPACITY, END, CACHED, RANKED = 2048, 0, 300_000, 512
+#: Tokens of a sequence; id that ends a document; bits of the table of a worker's known words; pieces of a rank group.
+CAPACITY, END, CACHE_BITS, RANKED = 2048, 0, 21, 512
+
+
+class Known:
+    """Open-addressed table from 64-bit hashes to numbers 0, 1, ...; whole arrays at a time."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.number = np.zeros(1 << bits, np.int32)
+        self.size = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 if it isn't there. Hash 0 counts as 1."""
+        h = np.maximum(h, U(1))
+        slot = (h >> U(64 - self.bits)).astype(np.int64)
+        out = np.full(len(h), -1, np.int32)
+        todo = np.arange(len(h))
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == h
+            out[todo[hit]] = self.number[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, h, slot = todo[on], h[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number distinct hashes that aren't there in their order."""
+        h = np.maximum(h, U(1))
+        number = np.arange(self.size, self.size + len(h), dtype=np.int32)
+        self.size += len(h)
+        slot = (h >> U(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot, return_index=True)
+            mine = np.zeros(len(h), bool)
+            mine[first] = True
+            mine &= free
+            self.keys[slot[mine]], self.number[slot[mine]] = h[mine], number[mine]
+            h, number, slot = h[~mine], number[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+
+def _loose_ends(part: np.ndarray) -> np.ndarray:
+    """Where a lone mark behind a Latin letter starts a word of its own, as the tokenizer has it too."""
+    out = np.zeros(len(part), bool)
+    if len(part) > 2:
+        letter = _LATIN[part]
+        letter[1:] |= (part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] != 0x97) & (part[1:] != 0xB7)
+        out[1:-1] = _MARK[part[1:-1]] & letter[:-2] & _BLANK[part[2:]]
+        out[-1] = False
+    return out
+
+
+_LATIN, _MARK, _BLANK = (np.zeros(256, bool) for _ in range(3))
+_LATIN[0x61:0x7B] = True
+_MARK[[ord(c) for c in ",.;:!?|"]] = True
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes, by a tokenizers file that drops white space."""
+    """ids of texts by a tokenizers file that drops white space; each distinct word is encoded once for a while."""
 
-    def __init__(self, path: str) -> None:
+    #: Stands between words that are encoded together; a word that holds it is encoded alone.
+    BETWEEN = "\x01"
+
+    def __init__(self, path: str, bits: int = CACHE_BITS) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        (self.between,) = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+        self.bits = bits
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Known(self.bits)
+        self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
+
+    def learn(self, h: np.ndarray, texts: list[str]) -> None:
+        found: list[np.ndarray] = []
+        alone = {i for i, t in enumerate(texts) if self.BETWEEN in t}
+        plain = [t for i, t in enumerate(texts) if i not in alone]
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = np.array(self.tokenizer.encode(f" {self.BETWEEN} ".join(part), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(ids == self.between)
+            if len(cut) != len(part) - 1:
+                raise ValueError("the tokenizer joins words across white space")
+            found += np.split(ids[ids != self.between], cut - np.arange(len(cut)))
+        rest = iter(found)
+        found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in alone else next(rest) for i, t in enumerate(texts)]
+        size = np.array([len(x) for x in found], np.int32)
+        n, total = self.known.size, int(size.sum())
+        while len(self.size) < n + len(found):
+            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+        while len(self.ids) < self.used + total:
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.start[n : n + len(found)] = self.used + np.append(0, np.cumsum(size)[:-1])
+        self.size[n : n + len(found)] = size
+        self.ids[self.used : self.used + total] = np.concatenate(found) if found else 0
+        self.used += total
+        self.known.add(h)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
-        known = self.known
-        new = list(set().union(*chunks).difference(known)) if chunks else []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for text, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[text] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """ids of each text in order."""
+        offsets, data = text_buffers(column)
+        for a, b in pieces(offsets):
+            raw = data[offsets[a] : offsets[b]]
+            h, at, start, end = words(offsets[a : b + 1] - offsets[a], raw, _loose_ends)
+            if self.known.size > 1 << self.bits - 1:
+                self.forget()
+            number = self.known.find(h)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                fresh, where = np.unique(h[new], return_index=True)
+                if self.known.size + len(fresh) > 3 << self.bits - 2:
+                    self.forget()
+                    fresh, where = np.unique(h, return_index=True)
+                    new = np.arange(len(h))
+                    while len(fresh) > 3 << self.known.bits - 2:
+                        self.known = Known(self.known.bits + 1)
+                at_word = new[where]
+                plain = raw.tobytes()
+                self.learn(fresh, [plain[s:e].decode("utf-8", "replace") for s, e in zip(start[at_word].tolist(), end[at_word].tolist(), strict=True)])
+                number = self.known.find(h)
+            size = self.size[number]
+            bound = np.append(0, np.cumsum(size))
+            flat = self.ids[np.repeat(self.start[number] - bound[:-1], size) + np.arange(bound[-1])]
+            for k in range(b - a):
+                yield flat[bound[at[k]] : bound[at[k + 1]]]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -57,19 +164,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids += end
-                    step = 4 * capacity
-                    out += [(doc, k, k * capacity, len(cut) // 4, zlib.crc32(cut)) for k, i in enumerate(range(0, len(ids), step)) if (cut := ids[i : i + step])]
-                columns = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            out: list[tuple] = []
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
+                out += [(doc, k, i, min(capacity, len(ids) - i), zlib.crc32(ids[i : i + capacity].tobytes())) for k, i in enumerate(range(0, len(ids), capacity))]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
