@@ -106,27 +106,32 @@ class Encoder:
         self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
 
     def learn(self, h: np.ndarray, texts: list[str]) -> None:
-        found: list[np.ndarray] = []
-        alone = {i for i, t in enumerate(texts) if self.BETWEEN in t}
-        plain = [t for i, t in enumerate(texts) if i not in alone]
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
+        """Encode texts, distinct words with hashes h, many at once."""
+        flat, sizes = [], []
+        alone = [i for i, t in enumerate(texts) if self.BETWEEN in t]
+        if alone:
+            order = alone + sorted(set(range(len(texts))).difference(alone))
+            h, texts = h[order], [texts[i] for i in order]
+        for t in texts[: len(alone)]:
+            flat.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+            sizes.append(np.array([len(flat[-1])]))
+        for at in range(len(alone), len(texts), 512):
+            part = texts[at : at + 512]
             ids = np.array(self.tokenizer.encode(f" {self.BETWEEN} ".join(part), add_special_tokens=False).ids, np.uint32)
             cut = np.flatnonzero(ids == self.between)
             if len(cut) != len(part) - 1:
                 raise ValueError("the tokenizer joins words across white space")
-            found += np.split(ids[ids != self.between], cut - np.arange(len(cut)))
-        rest = iter(found)
-        found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in alone else next(rest) for i, t in enumerate(texts)]
-        size = np.array([len(x) for x in found], np.int32)
+            flat.append(ids[ids != self.between])
+            sizes.append(np.diff(cut - np.arange(len(cut)), prepend=0, append=len(flat[-1])))
+        size = np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)
         n, total = self.known.size, int(size.sum())
-        while len(self.size) < n + len(found):
+        while len(self.size) < n + len(size):
             self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
         while len(self.ids) < self.used + total:
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.start[n : n + len(found)] = self.used + np.append(0, np.cumsum(size)[:-1])
-        self.size[n : n + len(found)] = size
-        self.ids[self.used : self.used + total] = np.concatenate(found) if found else 0
+        self.start[n : n + len(size)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(size)] = size
+        self.ids[self.used : self.used + total] = np.concatenate(flat) if flat else 0
         self.used += total
         self.known.add(h)
 
