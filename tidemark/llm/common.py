@@ -94,6 +94,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iter
         yield pa.Table.from_batches(held)
 
 
+def aside(df: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(df with all but the kept columns renamed, the way back), so that an operator's own columns never clash with them."""
+    names = list(df.columns)
+    own = {c: c if c in kept else f"_aside{i}" for i, c in enumerate(names)}
+    return df.toDF(*own.values()), lambda out: out.select(*[F.col(own[c]) for c in names]).toDF(*names)
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(id, component) for every vertex of edges (a long, b long); component is the smallest id reachable.
 

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, pieces, text_buffers, words
+from .common import aside
+from .kernels import pieces, text_buffers, words
 
 #: Labelled documents that are learned from, about, at most; words that the model keeps; scores that a worker remembers.
 TRAIN_DOCS, WORDS, REMEMBERED = 12_000, 60_000, 400_000
@@ -193,8 +194,7 @@ def identified(docs: DataFrame) -> DataFrame:
 def with_language(docs: DataFrame, rejected: tuple[str, ...] = ("und",)) -> DataFrame:
     """docs without those whose language can't be told; all columns stay."""
     model = learned(docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id"))))
-    other = tuple(c for c in docs.columns if c != "text")
-    own = {c: f"_c{i}" for i, c in enumerate(other)}
-    plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()], F.col("text"), F.col("text").alias("_text"))
-    marked = predicted(plain.select(*own.values(), "_text", "text"), model, (*own.values(), "_text"))
-    return marked.where(~F.col("lang_pred").isin(*rejected)).select(*[F.col("_text").alias("text") if c == "text" else F.col(own[c]).alias(c) for c in docs.columns])
+    docs, back = aside(docs.withColumn("_text", F.col("text")), "text", "_text")
+    others = tuple(c for c in docs.columns if c != "text")
+    marked = predicted(docs, model, others).where(~F.col("lang_pred").isin(*rejected))
+    return back(marked.withColumn("text", F.col("_text"))).drop("_text")

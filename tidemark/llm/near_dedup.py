@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, small_side, written
+from .common import aside, by_group, components, small_side, written
 from .kernels import U, shingle_sets, stream
 
 #: Positions of the sketch, minwise tokens for paths, trees, branches of a node.
@@ -228,5 +228,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the rows whose near-duplicate component has a smaller doc_id."""
-    gone = small_side(written(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
-    return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    docs, back = aside(docs, "doc_id")
+    return back(docs.join(small_side(written(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti"))

@@ -21,7 +21,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import aside, small_side, written
 
 
 @dataclass(frozen=True)
@@ -207,7 +207,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs whose texts have mark in place of every secret, overlapping spans together; n_chars follows. No document goes."""
-    held = docs.columns
+    docs, back = aside(docs, "doc_id", "text", "n_chars")
     out = found(docs, rules)
     kind = "struct<pos:int,text:string>"
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("text")).cast(kind)
@@ -219,6 +219,6 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
 
     clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
     out = out.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in held:
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*held)
+    return back(out)
