@@ -151,38 +151,34 @@ def _around(hits: DataFrame) -> DataFrame:
     return hits.mapInArrow(run, "value long, n long, doc_id long, place int, around binary, from_ short, to_ short")
 
 
-def _matches(own: np.ndarray, there: np.ndarray, ids: np.ndarray):
-    """adjacent() for joined(), which also notes the agreeing stretch around c of each window."""
-    width = own.shape[1]
-    start, stop = np.full(len(own), width), np.zeros(len(own), np.int64)
-
-    def adjacent(i: int, rest: np.ndarray) -> np.ndarray:
-        same = (own[rest] == own[i]) & there[rest] & there[i]
-        total = np.concatenate([np.zeros((len(rest), 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
-        inside = total[:, TOKENS:] - total[:, :-TOKENS]
-        good = inside >= AGREE
-        linked = good.any(axis=1)
-        for k in np.flatnonzero(linked).tolist():
-            j = int(rest[k])
-            w = np.flatnonzero(good[k])
-            hit = np.flatnonzero(same[k, w[0] : w[-1] + TOKENS]) + w[0]
-            if ids[i] != ids[j]:
-                for x in (i, j):
-                    start[x], stop[x] = min(start[x], hit[0]), max(stop[x], hit[-1] + 1)
-        # after a word put in or left out, tokens go on at other places
-        for k in np.flatnonzero(~linked & (total[:, -1] >= (TOKENS - 6) // 2)).tolist():
-            j = int(rest[k])
-            mine, other = np.isin(own[i], own[j][there[j]]) & there[i], np.isin(own[j], own[i][there[i]]) & there[j]
-            held = [np.append(0, np.cumsum(x)) for x in (mine, other)]
-            fits = [np.flatnonzero(t[TOKENS:] - t[:-TOKENS] >= AGREE) for t in held]
-            if len(fits[0]) and len(fits[1]):
-                linked[k] = True
-                if ids[i] != ids[j]:
-                    for x, w in ((i, fits[0]), (j, fits[1])):
-                        start[x], stop[x] = min(start[x], w[0]), max(stop[x], w[-1] + TOKENS)
-        return linked
-
-    return adjacent, start, stop
+def _agreement(own: np.ndarray, there: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(linked, start, stop, tokens that agree) of rows of own against rows of other, place by place."""
+    same = (own == other) & there
+    total = np.zeros((len(own), own.shape[1] + 1), np.int16)
+    np.cumsum(same, axis=1, dtype=np.int16, out=total[:, 1:])
+    good = total[:, TOKENS:] - total[:, :-TOKENS] >= AGREE
+    linked = good.any(axis=1)
+    first, last = good.argmax(axis=1), good.shape[1] - 1 - good[:, ::-1].argmax(axis=1)
+    span = np.arange(own.shape[1])
+    inside = same & (span >= first[:, None]) & (span < last[:, None] + TOKENS)
+    start, stop = inside.argmax(axis=1), own.shape[1] - inside[:, ::-1].argmax(axis=1)
+    return linked, start, stop, total[:, -1]
+
+
+def _shifted(a: np.ndarray, there_a: np.ndarray, b: np.ndarray, there_b: np.ndarray) -> tuple[int, int, int, int] | None:
+    """Stretches of two windows that hold nearly the same tokens at other places, as after a word put in or left out."""
+    out: list[int] = []
+    for x, there_x, y, there_y in ((a, there_a, b, there_b), (b, there_b, a, there_a)):
+        held = np.append(0, np.cumsum(np.isin(x, y[there_y]) & there_x))
+        fits = np.flatnonzero(held[TOKENS:] - held[:-TOKENS] >= AGREE)
+        if not len(fits):
+            return None
+        out += [int(fits[0]), int(fits[-1]) + TOKENS]
+    return out[0], out[1], out[2], out[3]
+
+
+#: Tokens that agree on the longer side of a gap in a passage that is near enough.
+BESIDE = (AGREE - 1) // 2
 
 
 def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -190,23 +186,45 @@ def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     ids = table.column("doc_id").combine_chunks().to_numpy()
     place = table.column("place").combine_chunks().to_numpy().astype(np.int64)
     around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint16).reshape(len(ids), -1)
-    span = np.arange(around.shape[1])
+    width = around.shape[1]
+    span = np.arange(width)
     there = (span >= table.column("from_").combine_chunks().to_numpy()[:, None]) & (span < table.column("to_").combine_chunks().to_numpy()[:, None])
     cut = np.flatnonzero(np.diff(value, prepend=~value[0], append=~value[-1]))
-    out: list[tuple] = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a < 2:
-            continue
-        adjacent, start, stop = _matches(around[a:b], there[a:b], ids[a:b])
-        label = joined(adjacent, b - a)
-        least: dict[int, int] = {}
-        for x, doc in zip(label.tolist(), ids[a:b].tolist(), strict=True):
-            least[x] = min(least.get(x, doc), doc)
-        for k in np.flatnonzero(stop > 0).tolist():
-            shift = place[a + k] - SIDE
-            out.append((ids[a + k], shift + start[k], shift + stop[k], least[int(label[k])]))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out, strict=True)], ["doc_id", "start", "stop", "rep"])
+    size = np.diff(cut)
+    head = np.repeat(cut[:-1], size)
+    # most groups are copies of one passage: each window against the first of its group
+    linked, start, stop, _ = (np.concatenate(x) for x in zip(*[_agreement(around[i : i + 4096], there[i : i + 4096] & there[head[i : i + 4096]], around[head[i : i + 4096]]) for i in range(0, len(ids), 4096)], strict=True))
+    is_head = head == np.arange(len(ids))
+    linked |= is_head
+    start, stop = np.where(linked & ~is_head, start, width), np.where(linked & ~is_head, stop, 0)
+    label = head.copy()
+    for g in np.flatnonzero(np.logical_and.reduceat(linked, cut[:-1]) == 0).tolist():
+        a, b = int(cut[g]), int(cut[g + 1])
+        start[a:b], stop[a:b] = width, 0
+
+        def adjacent(i: int, rest: np.ndarray, a: int = a) -> np.ndarray:
+            hit, s, e, same = _agreement(around[a + rest], there[a + rest] & there[a + i], around[a + i])
+            for k in np.flatnonzero(~hit & (same >= BESIDE)).tolist():
+                if found := _shifted(around[a + i], there[a + i], around[a + rest[k]], there[a + rest[k]]):
+                    hit[k], s[k], e[k] = True, found[2], found[3]
+                    start[a + i], stop[a + i] = min(start[a + i], found[0]), max(stop[a + i], found[1])
+            at = a + rest[hit]
+            start[at], stop[at] = np.minimum(start[at], s[hit]), np.maximum(stop[at], e[hit])
+            if hit.any():
+                start[a + i], stop[a + i] = min(start[a + i], int(s[hit].min())), max(stop[a + i], int(e[hit].max()))
+            return hit
+
+        label[a:b] = a + joined(adjacent, b - a)
+    # the first window of a class holds what any of its partners shares with it
+    np.minimum.at(start, label, start)
+    np.maximum.at(stop, label, stop)
+    least, most = ids.copy(), ids.copy()
+    np.minimum.at(least, label, ids)
+    np.maximum.at(most, label, ids)
+    out = np.flatnonzero((stop > 0) & (least[label] < most[label]))
+    if len(out):
+        shift = place[out] - SIDE
+        yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(shift + start[out]), pa.array(shift + stop[out]), pa.array(least[label[out]])], ["doc_id", "start", "stop", "rep"])
 
 
 def _keyed(large: DataFrame) -> DataFrame:
