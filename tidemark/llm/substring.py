@@ -177,8 +177,26 @@ def _shifted(a: np.ndarray, there_a: np.ndarray, b: np.ndarray, there_b: np.ndar
     return out[0], out[1], out[2], out[3]
 
 
-#: Tokens that agree on the longer side of a gap in a passage that is near enough.
+#: Tokens that agree in place if the shared token stands in the longer part of a passage with a gap.
 BESIDE = (AGREE - 1) // 2
+#: Words more or fewer up to which 46 tokens can still agree in 41 of 51; more lower the similarity under the bound.
+SHIFTS = (-2, -1, 1, 2)
+
+
+def _may_shift(own: np.ndarray, there: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Whether some 46 tokens of one agree in 41 with those of own in place and at one shift together."""
+    out = np.zeros(len(own), bool)
+    same = (own == one) & there
+    total = np.zeros((len(own), own.shape[1] + 1), np.int16)
+    for s in SHIFTS:
+        both = same.copy()
+        if s > 0:
+            both[:, :-s] |= (own[:, s:] == one[:-s]) & there[:, s:]
+        else:
+            both[:, -s:] |= (own[:, :s] == one[-s:]) & there[:, :s]
+        np.cumsum(both, axis=1, dtype=np.int16, out=total[:, 1:])
+        out |= (total[:, TOKENS:] - total[:, :-TOKENS] >= AGREE).any(axis=1)
+    return out
 
 
 def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -204,7 +222,8 @@ def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
         def adjacent(i: int, rest: np.ndarray, a: int = a) -> np.ndarray:
             hit, s, e, same = _agreement(around[a + rest], there[a + rest] & there[a + i], around[a + i])
-            for k in np.flatnonzero(~hit & (same >= BESIDE)).tolist():
+            apart = np.flatnonzero(~hit & (same >= BESIDE))
+            for k in apart[_may_shift(around[a + rest[apart]], there[a + rest[apart]], around[a + i])].tolist() if len(apart) else ():
                 if found := _shifted(around[a + i], there[a + i], around[a + rest[k]], there[a + rest[k]]):
                     hit[k], s[k], e[k] = True, found[2], found[3]
                     start[a + i], stop[a + i] = min(start[a + i], found[0]), max(stop[a + i], found[1])
