@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import by_group, written
 from .kernels import stream
 
-#: Vectors that centroids are fitted on, lists at most, vectors a list on average, rounds of fitting.
+#: Vectors that centroids are fitted on and that bound the scores of results from below, lists at most, vectors a list on average, rounds of fitting.
 SAMPLE, LISTS, AVERAGE, ROUNDS = 20_000, 2048, 96, 8
 #: Copies of a boundary vector, how much farther its other lists may be.
 COPIES, NEAR = 4, 1.08
@@ -138,15 +138,16 @@ def _block_scores(k: int):
         cut = np.flatnonzero(np.diff(key, prepend=~key[0], append=~key[-1]))
         ids = tables.column("id").combine_chunks().to_numpy()
         is_query = tables.column("query").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        floor = tables.column("floor").combine_chunks().to_numpy(zero_copy_only=False)
         vectors = _matrix(tables.column("vector"))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             ask = is_query[a:b]
-            qid, q, vid, v = ids[a:b][ask], vectors[a:b][ask], ids[a:b][~ask], vectors[a:b][~ask]
+            qid, q, least, vid, v = ids[a:b][ask], vectors[a:b][ask], floor[a:b][ask], ids[a:b][~ask], vectors[a:b][~ask]
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i in range(0, len(qid), 256) if len(vid) else ():
                 rough = q[i : i + 256] @ v.T
                 rough[qid[i : i + 256, None] == vid[None, :]] = -np.inf
-                last = np.partition(rough, -min(k, len(vid)), axis=1)[:, -min(k, len(vid))]
+                last = np.maximum(np.partition(rough, -min(k, len(vid)), axis=1)[:, -min(k, len(vid))], least[i : i + 256])
                 for j in range(len(rough)):
                     # rounding may move equal products apart, so all near the last place are scored again
                     near = np.flatnonzero((rough[j] >= last[j] - 1e-9 * max(1.0, abs(last[j]))) & np.isfinite(rough[j])) if np.isfinite(last[j]) else np.flatnonzero(np.isfinite(rough[j]))
@@ -169,8 +170,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RAT
     total = size["count"]
     norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     share = min(1.0, SAMPLE / total)
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = _matrix(picked.select("vector").toArrow().column("vector"))
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "vector").toArrow()
+    sample, sample_ids = _matrix(picked.column("vector")), picked.column("id").to_numpy()
     centre = centroids(_spread(sample if len(sample) else _matrix(rows.limit(1).toArrow().column("vector")), norm), min(LISTS, total // AVERAGE))
     # ties go to the smaller id, so of equal vectors no more than k + 1 can be found
     first = rows.select("id", "vector").withColumn("place", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("place") <= k + 1)
@@ -193,22 +194,41 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RAT
         held[r[0]] = r[1]
     graph = Graph(centre)
 
+    nearest_list = np.concatenate([_squared(_spread(sample[i : i + 2048], norm), centre).argmin(axis=1) for i in range(0, len(sample), 2048)]) if len(sample) else np.zeros(0, np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((sample.astype(np.float32), sample_ids, nearest_list))
+
+    def floors(ids: np.ndarray, q: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
+        """What the k-th result of each query has at least: the k-th best of the sampled vectors in its lists."""
+        known, known_ids, known_list = shared.value
+        out = np.full(len(q), -np.inf)
+        for i in range(0, len(q), 256) if len(known) > k else ():
+            score = q[i : i + 256].astype(np.float32) @ known.T
+            score[ids[i : i + 256, None] == known_ids[None, :]] = -np.inf
+            for j, row in enumerate(score):
+                inside = np.zeros(len(centre), bool)
+                inside[chosen[i + j]] = True
+                row[~inside[known_list]] = -np.inf
+            out[i : i + 256] = np.partition(score, -k, axis=1)[:, -k]
+        with np.errstate(invalid="ignore"):
+            return np.where(np.isfinite(out), out - 1e-4 * np.maximum(1.0, np.abs(out)), -np.inf)  # single precision is rounded
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _matrix(batch.column(1))
             plain = np.column_stack([q, np.zeros(len(q))])
             chosen = [graph.search(x, ratio, held, ENOUGH * k) for x in plain]
+            floor = floors(batch.column(0).to_numpy(), q, chosen)
             at = pa.array(np.repeat(np.arange(len(q)), [len(c) for c in chosen]))
             picked = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(picked.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(picked.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(floor).take(at)], ["list", "id", "vector", "floor"])
 
-    asks = written(rows.where("query").select("id", "vector").mapInArrow(asked, "list int, id long, vector array<double>"), "asked")
+    asks = written(rows.where("query").select("id", "vector").mapInArrow(asked, "list int, id long, vector array<double>, floor double"), "asked")
     per_list = asks.groupBy("list").count().collect()
     grid = rows.sparkSession.createDataFrame([(r[0], int(-(-held[r[0]] // BLOCK)) or 1, -(-r[1] // BATCH)) for r in per_list] or [(0, 1, 1)], "list int, blocks int, batches int")
 
     def dealt(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
         df = df.join(F.broadcast(grid), "list").withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return df.select(F.xxhash64("list", "_blocks", "_batches").alias("block"), "id", F.lit(query).alias("query"), "vector")
+        return df.select(F.xxhash64("list", "_blocks", "_batches").alias("block"), "id", F.lit(query).alias("query"), "vector", "floor" if query else F.lit(0.0).alias("floor"))
 
     both = dealt(lists, "blocks", "batches", False).unionByName(dealt(asks, "batches", "blocks", True))
     scored = by_group(both, "block", _block_scores(k), "query_id long, vec_id long, score double", rows=16384)
