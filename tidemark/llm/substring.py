@@ -154,15 +154,20 @@ def _around(hits: DataFrame) -> DataFrame:
 def _agreement(own: np.ndarray, there: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(linked, start, stop, tokens that agree) of rows of own against rows of other, place by place."""
     same = (own == other) & there
-    total = np.zeros((len(own), own.shape[1] + 1), np.int16)
-    np.cumsum(same, axis=1, dtype=np.int16, out=total[:, 1:])
-    good = total[:, TOKENS:] - total[:, :-TOKENS] >= AGREE
-    linked = good.any(axis=1)
-    first, last = good.argmax(axis=1), good.shape[1] - 1 - good[:, ::-1].argmax(axis=1)
-    span = np.arange(own.shape[1])
-    inside = same & (span >= first[:, None]) & (span < last[:, None] + TOKENS)
-    start, stop = inside.argmax(axis=1), own.shape[1] - inside[:, ::-1].argmax(axis=1)
-    return linked, start, stop, total[:, -1]
+    agree = np.count_nonzero(same, axis=1)
+    linked, start, stop = np.zeros(len(own), bool), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    maybe = np.flatnonzero(agree >= AGREE)
+    if len(maybe):
+        some = same[maybe]
+        total = np.zeros((len(maybe), own.shape[1] + 1), np.int16)
+        np.cumsum(some, axis=1, dtype=np.int16, out=total[:, 1:])
+        good = total[:, TOKENS:] - total[:, :-TOKENS] >= AGREE
+        linked[maybe] = good.any(axis=1)
+        first, last = good.argmax(axis=1), good.shape[1] - 1 - good[:, ::-1].argmax(axis=1)
+        span = np.arange(own.shape[1])
+        inside = some & (span >= first[:, None]) & (span < last[:, None] + TOKENS)
+        start[maybe], stop[maybe] = inside.argmax(axis=1), own.shape[1] - inside[:, ::-1].argmax(axis=1)
+    return linked, start, stop, agree
 
 
 def _shifted(a: np.ndarray, there_a: np.ndarray, b: np.ndarray, there_b: np.ndarray) -> tuple[int, int, int, int] | None:
@@ -282,7 +287,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     hits = written(hits, "hits")
     found = docs.join(hits, "doc_id").select("doc_id", "text", "hits")
     near = written(_around(found), "around")
-    small = by_group(near.where(F.col("n") <= GROUP), "value", _compared, "doc_id long, start long, stop long, rep long", rows=2048)
+    small = by_group(near.where(F.col("n") <= GROUP), "value", _compared, "doc_id long, start long, stop long, rep long", rows=2048, order=("doc_id", "place"))
     spans = small.unionByName(_keyed(near.where(F.col("n") > GROUP)))
     spans = written(spans.groupBy("doc_id", "start").agg(F.max("stop").alias("stop"), F.min("rep").alias("rep")), "spans")
     order = Window.partitionBy("doc_id").orderBy("start", "stop")
