@@ -32,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Which consecutive documents of a source changed most."""
+    return _QUERIES["most_changed_documents"](spark, sf_dir)
