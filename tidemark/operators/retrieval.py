@@ -41,3 +41,29 @@ def measures(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
 def recovered(selected: Column, sets: Column) -> Column:
     """Whether any of the alternative sets is wholly selected."""
     return F.exists(sets, lambda s: F.size(F.array_except(s, selected)) == 0)
+
+
+def index_recall(vectors: DataFrame, queries: int, at: tuple[int, ...], length: float = 0.5, tables: int = 12) -> DataFrame:
+    """(k, recall) of a bucketed random-projection index against exact search, for the first ids as queries.
+
+    Both sides are equi-joins on buckets or a broadcast of the few queries; vectors: id, embedding.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    v = vectors.select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    asked = v.orderBy("id").limit(queries)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(v)
+    near = model.approxSimilarityJoin(asked, v, float("inf"), "distance").select(F.col("datasetA.id").alias("q"), F.col("datasetB.id").alias("id"), "distance").where("q <> id")
+
+    def top(df: DataFrame) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("q").orderBy(F.round("distance", 9), "id"))
+        return df.withColumn("rank", n).where(F.col("rank") <= max(at)).select("q", "id", "rank")
+
+    ids = [r[0] for r in asked.select("id").collect()]
+    few = vectors.where(F.col("id").isin(ids)).select(F.col("id").alias("q"), F.col("embedding").alias("e"))
+    gap = F.sqrt(F.aggregate(F.zip_with("e", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
+    exact = top(vectors.join(F.broadcast(few)).where("q <> id").select("q", "id", gap.alias("distance")))
+    hits = exact.join(top(near).select("q", "id", F.col("rank").alias("found")), ["q", "id"], "left")
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.avg(F.when(F.col("rank") <= k, (F.coalesce("found", F.lit(2**31)) <= k).cast("double"))).alias("recall")) for k in at])
+    return hits.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.k", F.round("r.recall", 6).alias("recall"))
