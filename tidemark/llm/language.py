@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import aside
-from .kernels import pieces, text_buffers, words
+from .kernels import U, pieces, splitmix, stream, text_buffers, words
 
 #: Labelled documents that are learned from, about, at most; words that the model keeps; scores that a worker remembers.
-TRAIN_DOCS, WORDS, REMEMBERED = 12_000, 60_000, 400_000
+TRAIN_DOCS, WORDS, REMEMBERED = 12_000, 60_000, 200_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Words up to which more of them make the score surer.
 SURE = 20
@@ -45,21 +46,62 @@ def _spaced(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_MOVES = {n: stream(60 + n, n) | U(1) for n in ORDERS}
+#: Characters of a word that its n-grams are taken from.
+LONGEST = 64
+
+
+def gram_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all words between boundary marks, word of each character; -1 between words)."""
+    text = "\n".join(f"<{w[:LONGEST]}>" for w in words)
+    chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    gap = chars == 10
+    return chars, np.where(gap, -1, np.cumsum(gap))
+
+
+def gram_hashes(chars: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word) of every n-gram that lies within a word."""
+    m = len(chars) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = (word[:m] >= 0) & (word[:m] == word[n - 1 :])
+    h = chars[:m] * _MOVES[n][0]
+    for j in range(1, n):
+        h += chars[j : m + j] * _MOVES[n][j]
+    return splitmix(h[inside] + U(n)), word[:m][inside]
+
+
 @dataclass
 class Model:
+    """Sorted word hashes and n-gram hashes with their log frequencies by language."""
+
     languages: list[str]
     hashes: np.ndarray
     rows: np.ndarray
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray
-
-    def unseen(self, word: str) -> np.ndarray:
-        padded = f"<{word[:64]}>"
-        for n in ORDERS:
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return self.floor
+    grams: np.ndarray
+    gram_rows: np.ndarray
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words by their longest known n-grams; 0 for a word without any known character."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        chars, word = gram_runs(words)
+        open_ = np.ones(len(words) + 1, bool)  # the last stands for gaps
+        open_[-1] = False
+        for n in ORDERS if len(self.grams) else ():
+            h, owner = gram_hashes(chars, word, n)
+            mine = open_[owner]
+            h, owner = h[mine], owner[mine]
+            at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+            known = self.grams[at] == h
+            if known.any():
+                at, owner = at[known], owner[known]
+                total = np.zeros_like(out)
+                np.add.at(total, owner, self.gram_rows[at])
+                count = np.bincount(owner, minlength=len(words))
+                hit = count > 0
+                out[hit] = total[hit] / count[hit, None]
+                open_[:-1][hit] = False
+        return out
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -90,36 +132,33 @@ def learned(labelled: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int =
     place = {lang: i for i, lang in enumerate(languages)}
     k = len(languages)
     counts = np.zeros((len(rows), k))
-    grams: dict[str, np.ndarray] = {}
     for i, r in enumerate(rows):
         for lang, n in r["by"].items():
             counts[i, place[lang]] = n
-        padded = f"<{r['word'][:64]}>"
-        for n in ORDERS:
-            for j in range(len(padded) - n + 1):
-                g = padded[j : j + n]
-                if g in grams:
-                    grams[g] += counts[i]
-                else:
-                    grams[g] = counts[i].copy()
-    total_words = counts.sum(axis=0) + 1.0
-    by_order = {n: np.ones(k) for n in ORDERS}
-    for g, c in grams.items():
-        by_order[len(g)] += c
-    grams = {g: np.log((c + 0.05) / by_order[len(g)]).astype(np.float32) for g, c in grams.items()}
-    raw = [r["word"].encode() for r in rows]
-    joined = np.frombuffer(b" ".join(raw), np.uint8)
+    vocabulary = [r["word"] for r in rows]
+    chars, word = gram_runs(vocabulary)
+    grams, gram_rows = [], []
+    for n in ORDERS if vocabulary else ():
+        h, owner = gram_hashes(chars, word, n)
+        known, back = np.unique(h, return_inverse=True)
+        total = np.zeros((len(known), k))
+        np.add.at(total, back, counts[owner])
+        grams.append(known)
+        gram_rows.append(np.log((total + 0.05) / (total.sum(axis=0) + 1.0)).astype(np.float32))
+    every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+    order = np.argsort(every)
+    joined = np.frombuffer(b" ".join(w.encode() for w in vocabulary), np.uint8)
     h, *_ = words(np.array([0, len(joined)]), joined)
-    order = np.argsort(h)
-    table = np.log((counts + 0.05) / total_words).astype(np.float32)
-    prior = np.zeros(k, np.float32)
-    return Model(languages, h[order], table[order], grams, prior)
+    by_hash = np.argsort(h)
+    table = np.log((counts + 0.05) / (counts.sum(axis=0) + 1.0)).astype(np.float32)
+    return Model(languages, h[by_hash], table[by_hash], every[order], np.concatenate(gram_rows)[order] if gram_rows else np.zeros((0, k), np.float32))
 
 
-def predicted(docs: DataFrame, model: Model, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carried columns, lang_pred and score of every row of docs, which has those columns and text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def predicted(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (text only if kept) with lang_pred and score of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+    out = [f for f in docs.schema.fields if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -128,30 +167,31 @@ def predicted(docs: DataFrame, model: Model, carried: tuple[str, ...] = ("doc_id
         k = scores.shape[1]
         for batch in batches:
             langs, sure = [], []
-            offsets, data = text_buffers(batch.column(batch.num_columns - 1))
+            offsets, data = text_buffers(batch.column(place))
             for first, last in pieces(offsets):
                 own = offsets[first : last + 1] - offsets[first]
                 plain = data[offsets[first] : offsets[last]]
                 spaced = _spaced(plain)
                 h, at, start, end = words(own, spaced)
                 rows = np.zeros((len(h), k), np.float32)
-                if len(h) and m.languages:
+                if len(h) and len(m.hashes):
                     slot = np.minimum(np.searchsorted(m.hashes, h), len(m.hashes) - 1)
                     seen = m.hashes[slot] == h
                     rows[seen] = m.rows[slot[seen]]
                     new, where, back = np.unique(h[~seen], return_index=True, return_inverse=True)
                     if len(known) > REMEMBERED:
                         known = {}
-                    missing = np.flatnonzero(~seen)[where]
-                    ids = np.empty(len(new), np.int64)
-                    for i, (x, w) in enumerate(zip(new.tolist(), missing.tolist(), strict=True)):
-                        row = known.get(x)
-                        if row is None:
-                            row = known[x] = len(known)
-                            if row >= len(scores):
-                                scores = np.concatenate([scores, np.zeros_like(scores)])
-                            scores[row] = m.unseen(spaced[start[w] : end[w]].tobytes().lower().decode("utf-8", "replace"))
-                        ids[i] = row
+                    ids = np.array([known.get(x, -1) for x in new.tolist()], np.int64)
+                    fresh = np.flatnonzero(ids < 0)
+                    if len(fresh):
+                        at_word = np.flatnonzero(~seen)[where[fresh]]
+                        raw = spaced.tobytes()
+                        found = m.unseen([raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(start[at_word].tolist(), end[at_word].tolist(), strict=True)])
+                        ids[fresh] = np.arange(len(known), len(known) + len(fresh))
+                        known.update(zip(new[fresh].tolist(), ids[fresh].tolist(), strict=True))
+                        while len(scores) < len(known):
+                            scores = np.concatenate([scores, np.zeros_like(scores)])
+                        scores[ids[fresh]] = found
                     if len(new):
                         rows[~seen] = scores[ids[back]]
                 sums = np.zeros((last - first, k))
@@ -173,11 +213,10 @@ def predicted(docs: DataFrame, model: Model, carried: tuple[str, ...] = ("doc_id
                         langs.append(m.languages[best[i]]), sure.append(float(soft[i, best[i]]))
                     else:
                         langs.append("und"), sure.append(0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(sure, pa.float64())], [*carried, "lang_pred", "score"])
+            kept = [c for i, c in enumerate(batch.columns) if keep_text or i != place]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(sure, pa.float64())], [*(f.name for f in out), "lang_pred", "score"])
 
-    kept = docs.select(*carried, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*out, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -188,13 +227,11 @@ def held_out(doc_id: Column) -> Column:
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; learned outside the held-out fold."""
     model = learned(docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id"))))
-    return predicted(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predicted(docs.select("doc_id", F.col("text").cast("string").alias("text")), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def with_language(docs: DataFrame, rejected: tuple[str, ...] = ("und",)) -> DataFrame:
     """docs without those whose language can't be told; all columns stay."""
     model = learned(docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id"))))
-    docs, back = aside(docs.withColumn("_text", F.col("text")), "text", "_text")
-    others = tuple(c for c in docs.columns if c != "text")
-    marked = predicted(docs, model, others).where(~F.col("lang_pred").isin(*rejected))
-    return back(marked.withColumn("text", F.col("_text"))).drop("_text")
+    docs, back = aside(docs, "text")
+    return back(predicted(docs, model, keep_text=True).where(~F.col("lang_pred").isin(*rejected)))
