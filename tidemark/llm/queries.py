@@ -26,6 +26,29 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP2_SQL = """
+WITH low AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') FROM benchmark
+), grams AS (
+  SELECT kind, id, len(w) AS n, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM low WHERE len(w) >= 5
+), items AS (
+  SELECT id AS item_id, n, s, count(*) AS c FROM grams WHERE kind = 'i' GROUP BY ALL
+), hits AS (
+  SELECT g.id AS doc_id, g.n AS doc_n, i.item_id, i.n AS item_n, g.pos, g.s, i.c FROM grams g JOIN items i ON g.s = i.s WHERE g.kind = 'd'
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, least(doc_n, item_n) AS n_words, item_n, unnest(range(greatest(0, pos - least(doc_n, item_n) + 5), least(pos, doc_n - least(doc_n, item_n)) + 1)) AS first_word FROM hits
+), shared AS (
+  SELECT t.doc_id, t.item_id, t.n_words, t.item_n, t.first_word, h.s, least(count(*), any_value(h.c)) AS inboth
+  FROM starts t JOIN hits h ON h.doc_id = t.doc_id AND h.item_id = t.item_id AND h.pos BETWEEN t.first_word AND t.first_word + t.n_words - 5 GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, n_words, first_word, sum(inboth) / (n_words - 4 + item_n - 4 - sum(inboth)) AS similarity FROM shared GROUP BY doc_id, item_id, n_words, item_n, first_word
+)
+SELECT doc_id, item_id, first_word::INTEGER AS first_word, n_words::INTEGER AS n_words, similarity FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first_word) = 1
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
