@@ -192,3 +192,18 @@ def test_incremental(spark):
     assert [r.id for r in incremental.pending(items, done, ["id"], "f").collect()] == [2]
     assert incremental.pending(items, done, ["id"], "f", force=True).count() == 2
     assert files.fingerprint({"b": 1, "a": 2}) == files.fingerprint({"a": 2, "b": 1})
+
+
+def test_contracts():
+    with pytest.raises(ValueError, match="same store"):
+        sinks.distinct_stores("file:/a/b/", "/a/b")
+    sinks.distinct_stores("/a", "/a", allow_same=True)
+    with pytest.raises(ValueError, match="dimension"):
+        sinks.same_contract({"model": "m", "revision": "r", "dimension": 3}, {"model": "m", "revision": "r", "dimension": 4})
+
+
+def test_compatible_form(spark):
+    from tidemark.functions import text
+
+    df = spark.createDataFrame([("plain",), ("ﬁne ２",), (None,)], "s string")
+    assert [r.v for r in df.select(text.compatible_form(F.col("s")).alias("v")).collect()] == ["plain", "fine 2", None]

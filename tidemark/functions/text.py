@@ -5,10 +5,13 @@ Every function maps a Column to a Column and gives null for null unless it says
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: a number with inner separators, or a word of letters with inner apostrophes or hyphens.
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}+(?:['’-]\p{L}+)*['’]?"
@@ -191,3 +194,12 @@ def grouped_numbers(text: Column) -> Column:
     long = F.exists(hits, lambda h: F.size(F.split(h, "[ ,]")) >= 7)
     tight = F.exists(inner, lambda g: F.size(F.filter(F.split(g, r"\s+"), lambda w: w != "")) <= 1)
     return long | (F.size(inner) > 0) & tight
+
+
+def compatible_form(text: Column) -> Column:
+    """Unicode NFKC. ASCII is its own form and stays in the JVM; only other texts go through an Arrow batch."""
+    @F.pandas_udf(StringType())
+    def normalised(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(normalised(text))

@@ -40,3 +40,21 @@ def current(spark: SparkSession, root: str, name: str, state: DataFrame) -> Data
     active = state.where("status = 'ACTIVE'").select("publication_id").limit(1).collect()
     rows = spark.read.parquet(f"{root}/{name}")
     return rows.where(F.col("publication_id") == (active[0][0] if active else ""))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line, null fields left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def distinct_stores(source: str, target: str, allow_same: bool = False) -> None:
+    """Raise if source and target are one store, unless that is wanted."""
+    if not allow_same and source.rstrip("/").removeprefix("file:") == target.rstrip("/").removeprefix("file:"):
+        raise ValueError("source and target are the same store")
+
+
+def same_contract(given: dict, expected: dict) -> None:
+    """Raise if an embedding's model, revision or dimension isn't the expected one."""
+    wrong = [k for k in ("model", "revision", "dimension") if given.get(k) != expected.get(k)]
+    if wrong:
+        raise ValueError("embedding contract differs in " + ", ".join(wrong))
