@@ -58,3 +58,16 @@ def evidence_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t(spark, sf_dir, "events").withColumn("n", n).where("n <= 3")
     items = F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("event_id").alias("id"), F.col("event_type").alias("type")))), lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type")))
     return e.groupBy("user_id").agg(items.alias("evidence")).select("user_id", F.to_json(F.struct(F.col("user_id").alias("question"), "evidence")).alias("package"))
+
+
+@query(
+    "page_blocks",
+    r"""SELECT page_id, (i - 1)::BIGINT AS block_index, b[i] AS text, length(b[i])::BIGINT AS n_chars FROM (SELECT page_id, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT page_id, list_filter(list_transform(string_split_regex(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', '', 'g'),
+      '(?i)</?(?:h[1-6]|p|div|ul|ol|li|section|blockquote|article|nav|footer|header|aside|table|tr|td|title|body|head|html)(?:\s[^>]*)?>'),
+      lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?i)<br\s*/?>', ' ', 'g'), '(?s)<[^>]*>', '', 'g'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM pages))""",
+)
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.sources import pages
+
+    b = pages.blocks(t(spark, sf_dir, "pages"), "page_id", "html")
+    return b.select("page_id", F.col("block_index").cast("long").alias("block_index"), "text", F.length("text").cast("long").alias("n_chars"))
