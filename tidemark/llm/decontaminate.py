@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .kernels import SHINGLE, U, pieces, shingle_at, short_shingle, text_buffers, words
 
 #: Items of a round (each has a few kilobytes), bits of the radius, blocks of the 64 bits.
@@ -168,7 +169,7 @@ def _round(docs: DataFrame, rows: list[tuple[int, str]], threshold: float) -> Da
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, first_word int, n_words int, similarity double")
+    return docs.mapInArrow(lean(run), "doc_id long, item_id long, first_word int, n_words int, similarity double")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -187,4 +188,4 @@ def _without(docs: DataFrame, rows: list[tuple[int, str]], threshold: float) ->
         for batch in batches:
             yield batch.filter(pa.array([not found for found in _texts(items, batch.column(place), threshold)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import lean, small_side, written
 
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,7 +197,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                     kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "page", "token", "n", "first", "plain", "linked"])
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, token string, n int, first int, plain long, linked long")
+    return pages.select("host", "page", "html").mapInArrow(lean(run), "host string, page long, token string, n int, first int, plain long, linked long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -239,4 +239,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                     out.append(extracted(html, seen[key], path))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string")

@@ -17,7 +17,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 #: Text bytes that are turned into arrays at a time; an intermediate array is eight times as large.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SHINGLE = 5
 
 

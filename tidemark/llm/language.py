@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import aside
+from .common import aside, lean
 from .kernels import U, pieces, splitmix, stream, text_buffers, words
 
 #: Labelled documents that are learned from, about, at most; words that the model keeps; scores that a worker remembers.
@@ -117,7 +117,7 @@ def counted(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "word", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(lean(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def learned(labelled: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = WORDS) -> Model:
@@ -216,7 +216,7 @@ def predicted(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFra
             kept = [c for i, c in enumerate(batch.columns) if keep_text or i != place]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(sure, pa.float64())], [*(f.name for f in out), "lang_pred", "score"])
 
-    return docs.mapInArrow(run, StructType([*out, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*out, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, by_group, components, small_side, written
+from .common import aside, by_group, components, lean, small_side, written
 from .kernels import U, shingle_sets, stream
 
 #: Positions of the sketch, minwise tokens for paths, trees, branches of a node.
@@ -68,7 +68,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     digest.append(None), sketch.append(None), tokens.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), _SIGNED)
 
 
 def joined(adjacent, n: int) -> np.ndarray:
@@ -196,7 +196,7 @@ def _with_sets(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([s.tobytes() for s in shingle_sets(part.column(3))], pa.binary())], ["doc_id", "component", "blocks", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, component long, blocks int, shingles binary")
+    return docs.mapInArrow(lean(run), "doc_id long, component long, blocks int, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, written
+from .common import by_group, lean, written
 from .kernels import stream
 
 #: Vectors that centroids are fitted on and that bound the scores of results from below, lists at most, vectors a list on average, rounds of fitting.
@@ -188,7 +188,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RAT
                 at = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "id", "vector"])
 
-    lists = written(first.select("id", "vector").mapInArrow(filed, "list int, id long, vector array<double>"), "lists")
+    lists = written(first.select("id", "vector").mapInArrow(lean(filed), "list int, id long, vector array<double>"), "lists")
     held = np.zeros(len(centre), np.int64)
     for r in lists.groupBy("list").count().collect():  # one row a list
         held[r[0]] = r[1]
@@ -222,7 +222,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RAT
             picked = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(picked.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(floor).take(at)], ["list", "id", "vector", "floor"])
 
-    asks = written(rows.where("query").select("id", "vector").mapInArrow(asked, "list int, id long, vector array<double>, floor double"), "asked")
+    asks = written(rows.where("query").select("id", "vector").mapInArrow(lean(asked), "list int, id long, vector array<double>, floor double"), "asked")
     per_list = asks.groupBy("list").count().collect()
     grid = rows.sparkSession.createDataFrame([(r[0], int(-(-held[r[0]] // BLOCK)) or 1, -(-r[1] // BATCH)) for r in per_list] or [(0, 1, 1)], "list int, blocks int, batches int")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .kernels import U, pieces, text_buffers, words
 
 #: Tokens of a sequence; id that ends a document; bits of the table of a worker's known words; pieces of a rank group.
@@ -178,7 +178,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
@@ -261,4 +261,4 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(bounds, length * wide + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bases[at] + rank), pa.array(places[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(placed), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

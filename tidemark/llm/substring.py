@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, written
+from .common import by_group, lean, written
 from .kernels import U, pieces, shingle_at, splitmix, stream, text_buffers, words
 from .near_dedup import joined
 
@@ -112,7 +112,7 @@ def windows(docs: DataFrame) -> DataFrame:
                     if len(value):
                         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[a + text]), pa.array(c.astype(np.int32)), pa.array(np.minimum(c - l, SIDE).astype(np.int16)), pa.array(np.minimum(r - c, SIDE).astype(np.int16))], ["value", "doc_id", "place", "n_left", "n_right"])
 
-    return docs.mapInArrow(run, "value long, doc_id long, place int, n_left short, n_right short")
+    return docs.mapInArrow(lean(run), "value long, doc_id long, place int, n_left short, n_right short")
 
 
 def _around(hits: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _around(hits: DataFrame) -> DataFrame:
                             [pa.array(values[mine][ok]), pa.array(counts[mine][ok]), pa.array(np.full(len(c), ids[a + k])), pa.array(c.astype(np.int32)), pa.array([x.tobytes() for x in near], pa.binary()), pa.array(np.maximum(0, SIDE - c).astype(np.int16)), pa.array(np.minimum(2 * SIDE + 1, SIDE + len(own) - c).astype(np.int16))], names
                         )
 
-    return hits.mapInArrow(run, "value long, n long, doc_id long, place int, around binary, from_ short, to_ short")
+    return hits.mapInArrow(lean(run), "value long, n long, doc_id long, place int, around binary, from_ short, to_ short")
 
 
 def _agreement(own: np.ndarray, there: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +269,7 @@ def _keyed(large: DataFrame) -> DataFrame:
                     start = batch.column(2).to_numpy()[ok].astype(np.int64) - SIDE + o
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(pa.array(ok)), pa.array(start)], ["key", "doc_id", "start"])
 
-    keys = written(large.select("value", "doc_id", "place", "around", "from_", "to_").mapInArrow(run, "key long, doc_id long, start long"), "keys")
+    keys = written(large.select("value", "doc_id", "place", "around", "from_", "to_").mapInArrow(lean(run), "key long, doc_id long, start long"), "keys")
     shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top"), "shared")
     return keys.join(shared, "key").select("doc_id", "start", (F.col("start") + AGREE).alias("stop"), "rep")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_side, written
+from .common import fresh_path, lean, small_side, written
 
 #: Names of the header line's fields by version of the format (fixed values).
 FIELDS = {
@@ -176,7 +176,7 @@ def archived(pages: DataFrame, path: str, least: int = 0, version: int = 1, date
                 out = [serialised(converted(r, i, o)).decode() for r, i, o in zip(read_arc(arc), part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string()).cast(pa.string())], ["value"])
 
-    records = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(run, "value string")
+    records = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(lean(run), "value string")
     records.write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
 
 
@@ -210,7 +210,7 @@ def restored(spark, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
