@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, lean, written
+from .common import by_group, discard, lean, written
 from .kernels import U, pieces, shingle_at, splitmix, stream, text_buffers, words
 from .near_dedup import joined
 
@@ -116,7 +116,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def _around(hits: DataFrame) -> DataFrame:
-    """The hits of each document, (value, n, place) in an array, with the tokens around them."""
+    """The hits of each document with the tokens of their interval [l, r], up to SIDE on either side of the shared one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = np.arange(-SIDE, SIDE + 1)
@@ -126,7 +126,7 @@ def _around(hits: DataFrame) -> DataFrame:
                 part = batch.slice(at, 64)
                 ids, lists = part.column(0).to_numpy(), part.column(2)
                 flat = lists.flatten()
-                values, counts, places = (flat.field(i).to_numpy() for i in range(3))
+                values, counts, places, left, right = (flat.field(i).to_numpy() for i in range(5))
                 begin = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
                 for a, grams, first, last in _token_runs(part.column(1)):
                     for k in range(len(first)):
@@ -140,12 +140,12 @@ def _around(hits: DataFrame) -> DataFrame:
                             ok &= np.any([splitmix(token ^ s).view(np.int64) == values[mine] for s in _SEEDS], axis=0)
                         if not ok.any():
                             continue
-                        c = c[ok]
+                        c, before, after = c[ok], left[mine][ok].astype(np.int64), right[mine][ok].astype(np.int64)
                         where = c[:, None] + span
-                        there = (where >= 0) & (where < len(own))
+                        there = (where >= 0) & (where < len(own)) & (span >= -before[:, None]) & (span <= after[:, None])
                         near = np.where(there, (own[np.clip(where, 0, len(own) - 1)] >> U(48)).astype(np.uint16), 0)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(values[mine][ok]), pa.array(counts[mine][ok]), pa.array(np.full(len(c), ids[a + k])), pa.array(c.astype(np.int32)), pa.array([x.tobytes() for x in near], pa.binary()), pa.array(np.maximum(0, SIDE - c).astype(np.int16)), pa.array(np.minimum(2 * SIDE + 1, SIDE + len(own) - c).astype(np.int16))], names
+                            [pa.array(values[mine][ok]), pa.array(counts[mine][ok]), pa.array(np.full(len(c), ids[a + k])), pa.array(c.astype(np.int32)), pa.array([x.tobytes() for x in near], pa.binary()), pa.array((SIDE - before).astype(np.int16)), pa.array((SIDE + after + 1).astype(np.int16))], names
                         )
 
     return hits.mapInArrow(lean(run), "value long, n long, doc_id long, place int, around binary, from_ short, to_ short")
@@ -281,15 +281,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     the document itself for the representatives.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    every = written(windows(docs).select("value", "doc_id", "place"), "windows")
+    every = written(windows(docs), "windows")
     common = written(every.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "common")
-    hits = every.join(common, "value").groupBy("doc_id").agg(F.collect_list(F.struct("value", "n", "place")).alias("hits"))
+    hits = every.join(common, "value").groupBy("doc_id").agg(F.collect_list(F.struct("value", "n", "place", "n_left", "n_right")).alias("hits"))
     hits = written(hits, "hits")
+    discard(every, common)
     found = docs.join(hits, "doc_id").select("doc_id", "text", "hits")
     near = written(_around(found), "around")
+    discard(hits)
     small = by_group(near.where(F.col("n") <= GROUP), "value", _compared, "doc_id long, start long, stop long, rep long", rows=2048, order=("doc_id", "place"))
     spans = small.unionByName(_keyed(near.where(F.col("n") > GROUP)))
     spans = written(spans.groupBy("doc_id", "start").agg(F.max("stop").alias("stop"), F.min("rep").alias("rep")), "spans")
+    discard(near)
     order = Window.partitionBy("doc_id").orderBy("start", "stop")
     apart = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     island = F.sum(F.col("apart").cast("int")).over(order)
