@@ -40,3 +40,21 @@ def test_edited_passages_are_mostly_found(spark):
         texts += [prose(rng, 40) + " " + " ".join(p), " ".join(q) + " " + prose(rng, 40)]
     found = {r.doc_id for r in substring.repeated_passages(frame(spark, texts)).collect()}
     assert len(found) >= 0.9 * len(texts)
+
+
+def test_group_size_changes_no_result(spark, monkeypatch):
+    rng = random.Random(13)
+    p = prose(rng, 70).split()
+    edited = [*p[:35], "edited", *p[36:]]
+    added = [*p[:40], "added", *p[40:]]
+    texts = [" ".join([prose(rng, 60), *(edited if i == 7 else added if i == 8 else p), prose(rng, 60)]) for i in range(24)]
+    # three hold more of what stands around the passage than the rest
+    more = [prose(rng, 20), *p, prose(rng, 20)]
+    texts += [" ".join([prose(rng, 60), *more, prose(rng, 60)]) for _ in range(3)]
+    docs = frame(spark, texts)
+    rows = {}
+    for group in (1024, 8):
+        monkeypatch.setattr(substring, "GROUP", group)
+        rows[group] = sorted(map(tuple, substring.repeated_passages(docs).collect()))
+    assert rows[8] == rows[1024]
+    assert {r[0] for r in rows[8]} == set(range(27))

@@ -7,9 +7,10 @@ tokens. Windows with equal minimum, from any of the functions, are joined; aroun
 on each other and verified: a passage of 46 tokens around c, of which at least 41 agree, has a similarity of 41 / 51 or
 more. An exact passage of 50 words has the same minimum wherever it stands, so it is found by any one function.
 
-Windows whose minimum is shared by up to GROUP others are compared exhaustively. Larger groups, such as a passage in a
-third of all texts, are keyed by 41 tokens in a row at each sixth offset around c: any 46 equal tokens hold such a run,
-and a run of 41 is itself near enough, so one pre-aggregated minimum a key replaces comparison and no pair is made.
+Equal windows of a group collapse to one, which is a passage as a whole if several documents hold it. The distinct ones
+are compared each with every other, and a span is the union of what a window shares with any window of another document.
+Groups of more than GROUP windows, such as a passage in a third of all texts, are compared in blocks of about GROUP
+distinct windows, each block with every other, so the size of a group changes no result.
 
 Null and empty texts and texts of fewer than 50 words have no passages; null doc_ids take no part. Repetition within one
 document doesn't count. Rows that repeat a doc_id are one document. No passage is dropped however often it occurs.
@@ -18,22 +19,22 @@ document doesn't count. Rows that repeat a doc_id are one document. No passage i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, discard, lean, written
+from .common import by_group, components, discard, lean, small_side, written
 from .kernels import U, pieces, shingle_at, splitmix, stream, text_buffers, words
-from .near_dedup import joined
 
 #: Hash functions; words of a passage; its tokens; tokens that must agree.
 HASHES, WORDS = 2, 50
 TOKENS = WORDS - 4
 AGREE = int(np.ceil(2 * TOKENS * 0.8 / 1.8))
-#: Windows of a group up to which they are compared exhaustively; distance of keys in larger groups.
-GROUP, STEP = 1024, TOKENS - AGREE + 1
+#: Windows of a group up to which one task compares them; distinct windows in a block of a larger one.
+GROUP = 1024
 SIDE = TOKENS - 1
 _PLACE = U((1 << 28) - 1)
 _SEEDS = stream(51, HASHES)
@@ -189,89 +190,166 @@ SHIFTS = (-2, -1, 1, 2)
 
 
 def _may_shift(own: np.ndarray, there: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Whether some 46 tokens of one agree in 41 with those of own in place and at one shift together."""
+    """Whether some 46 tokens of one agree in 41 with those of own in place and at one shift together, row by row."""
     out = np.zeros(len(own), bool)
     same = (own == one) & there
     total = np.zeros((len(own), own.shape[1] + 1), np.int16)
     for s in SHIFTS:
         both = same.copy()
         if s > 0:
-            both[:, :-s] |= (own[:, s:] == one[:-s]) & there[:, s:]
+            both[:, :-s] |= (own[:, s:] == one[:, :-s]) & there[:, s:]
         else:
-            both[:, -s:] |= (own[:, :s] == one[-s:]) & there[:, :s]
+            both[:, -s:] |= (own[:, :s] == one[:, -s:]) & there[:, :s]
         np.cumsum(both, axis=1, dtype=np.int16, out=total[:, 1:])
         out |= (total[:, TOKENS:] - total[:, :-TOKENS] >= AGREE).any(axis=1)
     return out
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index that each of 0..n-1 reaches over the edges (a, b)."""
+    label = np.arange(n) if label is None else label
+    while len(a):
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    return label
+
+
+@dataclass
+class Rows:
+    """Distinct windows: their tokens, which of them lie in the window, and the document if only one has it, else -1 - row."""
+
+    around: np.ndarray
+    there: np.ndarray
+    who: np.ndarray
+
+    def __post_init__(self) -> None:
+        # what several documents hold is a passage as a whole
+        alone = self.who >= 0
+        width = self.around.shape[1]
+        self.first, self.last = self.there.argmax(axis=1), width - self.there[:, ::-1].argmax(axis=1)
+        self.start, self.stop = np.where(alone, width, self.first), np.where(alone, 0, self.last)
+        self.label = np.arange(len(self.who))
+
+    def compare(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Widen the spans of both sides by what each pair of rows (left, right) shares, and join the labels of linked ones."""
+        other = self.who[left] != self.who[right]
+        left, right = left[other], right[other]
+        edges, apart = [], []
+        for i in range(0, len(left), 4096):
+            x, y = left[i : i + 4096], right[i : i + 4096]
+            hit, s, e, same = _agreement(self.around[x], self.there[x] & self.there[y], self.around[y])
+            for side in (x[hit], y[hit]):
+                np.minimum.at(self.start, side, s[hit])
+                np.maximum.at(self.stop, side, e[hit])
+            edges.append(i + np.flatnonzero(hit))
+            apart.append(i + np.flatnonzero(~hit & (same >= BESIDE)))
+        if not edges:
+            return
+        linked, later = np.concatenate(edges), np.concatenate(apart)
+        self.label = _labels(len(self.who), left[linked], right[linked], self.label)
+        more = []
+        for i in range(0, len(later), 4096):
+            # a shift changes nothing between windows of one class that are shared from end to end
+            k = later[i : i + 4096]
+            full = (self.start <= self.first) & (self.stop >= self.last)
+            k = k[~(full[left[k]] & full[right[k]] & (self.label[left[k]] == self.label[right[k]]))]
+            k = k[_may_shift(self.around[right[k]], self.there[right[k]], self.around[left[k]])] if len(k) else k
+            for pair, x, y in zip(k.tolist(), left[k].tolist(), right[k].tolist(), strict=True):
+                if found := _shifted(self.around[x], self.there[x], self.around[y], self.there[y]):
+                    self.start[x], self.stop[x] = min(self.start[x], found[0]), max(self.stop[x], found[1])
+                    self.start[y], self.stop[y] = min(self.start[y], found[2]), max(self.stop[y], found[3])
+                    more.append(pair)
+        if more:
+            self.label = _labels(len(self.who), left[more], right[more], self.label)
+
+
+def _tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens around the shared one, whether each lies in the window) of the rows of a table."""
+    around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+    span = np.arange(around.shape[1])
+    lo, hi = (table.column(c).combine_chunks().to_numpy()[:, None] for c in ("from_", "to_"))
+    return around, (span >= lo) & (span < hi)
+
+
+def _every_pair(end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with i < j < end of i's group."""
+    rows = np.arange(len(end))
+    ahead = end - rows - 1
+    left = np.repeat(rows, ahead)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+
+
 def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows of whole groups: each distinct window against every other one of its group."""
     value = table.column("value").combine_chunks().to_numpy()
     ids = table.column("doc_id").combine_chunks().to_numpy()
     place = table.column("place").combine_chunks().to_numpy().astype(np.int64)
-    around = np.frombuffer(b"".join(table.column("around").to_pylist()), np.uint16).reshape(len(ids), -1)
-    width = around.shape[1]
-    span = np.arange(width)
-    there = (span >= table.column("from_").combine_chunks().to_numpy()[:, None]) & (span < table.column("to_").combine_chunks().to_numpy()[:, None])
-    cut = np.flatnonzero(np.diff(value, prepend=~value[0], append=~value[-1]))
-    size = np.diff(cut)
-    head = np.repeat(cut[:-1], size)
-    # most groups are copies of one passage: each window against the first of its group
-    linked, start, stop, _ = (np.concatenate(x) for x in zip(*[_agreement(around[i : i + 4096], there[i : i + 4096] & there[head[i : i + 4096]], around[head[i : i + 4096]]) for i in range(0, len(ids), 4096)], strict=True))
-    is_head = head == np.arange(len(ids))
-    linked |= is_head
-    start, stop = np.where(linked & ~is_head, start, width), np.where(linked & ~is_head, stop, 0)
-    label = head.copy()
-    for g in np.flatnonzero(np.logical_and.reduceat(linked, cut[:-1]) == 0).tolist():
-        a, b = int(cut[g]), int(cut[g + 1])
-        start[a:b], stop[a:b] = width, 0
-
-        def adjacent(i: int, rest: np.ndarray, a: int = a) -> np.ndarray:
-            hit, s, e, same = _agreement(around[a + rest], there[a + rest] & there[a + i], around[a + i])
-            apart = np.flatnonzero(~hit & (same >= BESIDE))
-            for k in apart[_may_shift(around[a + rest[apart]], there[a + rest[apart]], around[a + i])].tolist() if len(apart) else ():
-                if found := _shifted(around[a + i], there[a + i], around[a + rest[k]], there[a + rest[k]]):
-                    hit[k], s[k], e[k] = True, found[2], found[3]
-                    start[a + i], stop[a + i] = min(start[a + i], found[0]), max(stop[a + i], found[1])
-            at = a + rest[hit]
-            start[at], stop[at] = np.minimum(start[at], s[hit]), np.maximum(stop[at], e[hit])
-            if hit.any():
-                start[a + i], stop[a + i] = min(start[a + i], int(s[hit].min())), max(stop[a + i], int(e[hit].max()))
-            return hit
-
-        label[a:b] = a + joined(adjacent, b - a)
-    # the first window of a class holds what any of its partners shares with it
-    np.minimum.at(start, label, start)
-    np.maximum.at(stop, label, stop)
-    least, most = ids.copy(), ids.copy()
-    np.minimum.at(least, label, ids)
-    np.maximum.at(most, label, ids)
-    out = np.flatnonzero((stop > 0) & (least[label] < most[label]))
+    around, there = _tokens_of(table)
+    key = splitmix((around * (stream(52, around.shape[1]) | U(1))).sum(axis=1, dtype=np.uint64) + U(128) * there.argmax(axis=1).astype(np.uint64) + there.sum(axis=1).astype(np.uint64))
+    order = np.lexsort((key, value))
+    new = np.append(True, (key[order][1:] != key[order][:-1]) | (value[order][1:] != value[order][:-1]))
+    mine = np.empty(len(ids), np.int64)
+    mine[order] = np.cumsum(new) - 1
+    one = order[new]
+    least, most = ids[one].copy(), ids[one].copy()
+    np.minimum.at(least, mine, ids)
+    np.maximum.at(most, mine, ids)
+    rows = Rows(around[one], there[one], np.where(least < most, -1 - np.arange(len(one)), _numbered(least)))
+    cut = np.flatnonzero(np.diff(value[one], prepend=~value[one[0]], append=~value[one[-1]]))
+    rows.compare(*_every_pair(np.repeat(cut[1:], np.diff(cut))))
+    np.minimum.at(least, rows.label, least)
+    out = np.flatnonzero(rows.stop[mine] > 0)
     if len(out):
-        shift = place[out] - SIDE
-        yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(shift + start[out]), pa.array(shift + stop[out]), pa.array(least[label[out]])], ["doc_id", "start", "stop", "rep"])
+        shift, k = place[out] - SIDE, mine[out]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(shift + rows.start[k]), pa.array(shift + rows.stop[k]), pa.array(least[rows.label[k]])], ["doc_id", "start", "stop", "rep"])
 
 
-def _keyed(large: DataFrame) -> DataFrame:
-    """Spans of windows in large groups: those whose 41 tokens at some sixth offset stand in another document too."""
+def _numbered(ids: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on that are equal where ids are."""
+    return np.unique(ids, return_inverse=True)[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            around = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(np.uint64)
-            lo, hi = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            base = splitmix(batch.column(0).to_numpy().view(np.uint64))
-            weights = stream(52, AGREE) | U(1)
-            for o in range(0, around.shape[1] - AGREE + 1, STEP):
-                ok = np.flatnonzero((o >= lo) & (o + AGREE <= hi))
-                if len(ok):
-                    key = splitmix((around[ok, o : o + AGREE] * weights).sum(axis=1, dtype=np.uint64) + base[ok] + U(o))
-                    start = batch.column(2).to_numpy()[ok].astype(np.int64) - SIDE + o
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(pa.array(ok)), pa.array(start)], ["key", "doc_id", "start"])
-
-    keys = written(large.select("value", "doc_id", "place", "around", "from_", "to_").mapInArrow(lean(run), "key long, doc_id long, start long"), "keys")
-    shared = written(keys.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top"), "shared")
-    return keys.join(shared, "key").select("doc_id", "start", (F.col("start") + AGREE).alias("stop"), "rep")
+
+def _block_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Spans and links of the distinct windows of two blocks of a large group, or of one with itself."""
+    pair = table.column("pair").combine_chunks().to_numpy()
+    cut = np.flatnonzero(np.diff(pair, prepend=~pair[0], append=~pair[-1]))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        part = table.slice(a, b - a)
+        ids, least, most = (part.column(c).combine_chunks().to_numpy() for c in ("id", "least", "most"))
+        rows = Rows(*_tokens_of(part), np.where(least < most, -1 - np.arange(len(ids)), _numbered(least)))
+        if part.column("diagonal")[0].as_py():
+            rows.compare(*_every_pair(np.full(len(ids), len(ids))))
+        else:
+            side = part.column("right").combine_chunks().to_numpy(zero_copy_only=False)
+            x, y = np.flatnonzero(~side), np.flatnonzero(side)
+            rows.compare(np.repeat(x, len(y)), np.tile(y, len(x)))
+        out = np.flatnonzero(rows.stop > 0)
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(rows.start[out].astype(np.int32)), pa.array(rows.stop[out].astype(np.int32)), pa.array(ids[rows.label[out]])], ["id", "start", "stop", "root"])
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """Spans of windows in large groups: distinct windows in blocks, each block with every other one of its group."""
+    own = F.xxhash64("value", "around", "from_", "to_").alias("id")
+    body = ["value", "around", "from_", "to_"]
+    reps = written(large.groupBy(own, *body).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "reps")
+    blocks = small_side(written(reps.groupBy("value").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks"))
+    dealt = reps.join(blocks, "value").withColumn("block", F.pmod("id", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("value", F.least("block", "other"), F.greatest("block", "other")).alias("pair")
+    dealt = dealt.select(pair, (F.col("block") == F.col("other")).alias("diagonal"), (F.col("block") > F.col("other")).alias("right"), "id", "least", "most", "around", "from_", "to_")
+    found = written(by_group(dealt, "pair", _block_pairs, "id long, start int, stop int, root long", rows=2048, order=("id",)), "found")
+    label = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "classes").withColumnRenamed("component", "class")
+    named = written(reps.select("id", "least").join(label, "id", "left").withColumn("class", F.coalesce("class", "id")), "named")
+    rep = named.groupBy("class").agg(F.min("least").alias("rep"))
+    span = found.groupBy("id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    known = written(named.join(span, "id").join(rep, "class").select("id", "start", "stop", "rep"), "known")
+    shift = F.col("place").cast("long") - SIDE
+    return large.select(own, "doc_id", "place").join(small_side(known), "id").select("doc_id", (shift + F.col("start")).alias("start"), (shift + F.col("stop")).alias("stop"), "rep")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -290,7 +368,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     near = written(_around(found), "around")
     discard(hits)
     small = by_group(near.where(F.col("n") <= GROUP), "value", _compared, "doc_id long, start long, stop long, rep long", rows=2048, order=("doc_id", "place"))
-    spans = small.unionByName(_keyed(near.where(F.col("n") > GROUP)))
+    large = near.where(F.col("n") > GROUP)
+    spans = small if large.isEmpty() else small.unionByName(_in_blocks(large))
     spans = written(spans.groupBy("doc_id", "start").agg(F.max("stop").alias("stop"), F.min("rep").alias("rep")), "spans")
     discard(near)
     order = Window.partitionBy("doc_id").orderBy("start", "stop")
