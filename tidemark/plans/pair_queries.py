@@ -70,7 +70,7 @@ def length_change_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sequence_and_edit_similarity")
 def sequence_and_edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence ratio and token edit similarity of consecutive documents; quadratic in the tokens of a pair, not in pairs."""
-    return S.token_metrics(pairs_of(spark, sf_dir), "earlier_doc_id", "earlier_tk", "later_tk", limit=2_000)
+    return S.token_metrics(pairs_of(spark, sf_dir), "earlier_doc_id", "earlier_tk", "later_tk")
 
 
 @query(
