@@ -66,6 +66,22 @@ def test_template_without_article(spark):
     assert html.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_second_layout_and_long_notice(spark):
+    notice = "This notice stands on each page of the host. " * 8
+    items = "".join(f"<p>Term {k} of the host</p>" for k in range(450))
+
+    def plain(i):
+        return f"<html><body><h1>Title {i}</h1><div class='a'><p>Story {i} goes on {'and on ' * 40}</p></div><ul><li>Point {i}</li></ul><div class='b'><p>{notice}</p>{items}</div></body></html>"
+
+    rows = [(i, f"http://two/{i}", f"<html><body><article><p>Article {i} {'word ' * 80}</p></article></body></html>") for i in range(9)]
+    rows += [(9, "http://two/9", "<html><body><div><p>The other layout</p></div></body></html>")]
+    rows += [(20 + i, f"http://one/{i}", plain(i)) for i in range(5)] + [(30 + i, f"http://copies/{i}", plain(7)) for i in range(3)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[9] == "The other layout"
+    assert got[21].split("\n") == ["Title 1", ("Story 1 goes on " + "and on " * 40).strip(), "Point 1"]
+    assert "Story 7" in got[30] and got[30] == got[32]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(600, 16)).astype(np.float32)

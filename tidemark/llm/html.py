@@ -1,16 +1,17 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Every page becomes tokens: opening tags with the path of elements above them, and short texts outside article-like
-elements. Tokens of a host whose occurrence vectors over its pages are equal form an equivalence class; equal vectors are
+Every page becomes tokens: opening tags with the path of elements above them, and digests of the texts outside
+article-like elements. Tokens of a host whose occurrence vectors over its pages are equal form an equivalence class; equal vectors are
 found by one pre-aggregated fingerprint a token, so no page set of a host is ever gathered. A class is valid if it
 occurs on enough of the host's pages and its tokens keep their order, judged by nested mean positions. The valid classes
-make the host's template; what lies between its tokens are slots. A slot is main text if its path holds an article-like
-element, or, on hosts without one, if it is the slot that gathers most text outside links. Texts of the template itself
-are left out outside article-like elements.
+make the host's template. The main text of a page is what its article-like elements hold or, if it has none, all text
+that isn't the template's, wherever it stands and whatever other pages of the host look like. Pages of a host with equal
+html count as one, so that copies of a page don't make its text a template.
 
 Elements that are menus, headers or footers of the page, sidebars, notices, adverts, forms, comments, scripts or styles,
 by name, role, class or id, hold no main text wherever they stand. Character references are decoded, white space inside a
-block becomes one space, blocks are joined in page order by one line feed. Nothing else is dropped.
+block becomes one space, blocks are joined in page order by one line feed. On pages without an article-like element blocks
+under SHORT characters that are mostly links are left out too. Nothing else is dropped.
 
 Null or empty html has the empty text. A null url has the empty host. Malformed markup is read tolerantly: elements left
 open end with their parent, an unclosed comment or script ends with the page. Repeated rows are extracted each.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -41,10 +43,9 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising adsense spons
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Characters of a text up to which it counts as a template token; share of a host's pages that a class needs.
+#: Characters under which a block that is mostly links is left out; share of a host's pages that a class needs. As each
+#: template text stands on that share of pages, a host has at most 1 / SUPPORT times the texts of its mean page.
 SHORT, SUPPORT = 200, 0.3
-#: Template tokens of a host that extraction is given; beyond, the classes of the most pages come first.
-TEMPLATE = 400
 
 
 @dataclass(slots=True)
@@ -147,8 +148,13 @@ def joined(block: list[Piece]) -> str:
     return " ".join(unescape("".join(p.text for p in block)).split())
 
 
-def extracted(html: str | None, template: frozenset[str] = frozenset(), main_path: str | None = None) -> str:
-    """The main text of a page, given its host's template texts and the path of its richest slot."""
+def digest(line: str) -> str:
+    """What stands for a text of any length among the tokens of a host."""
+    return blake2b(line.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def extracted(html: str | None, template: frozenset[str] = frozenset()) -> str:
+    """The main text of a page, given the digests of its host's template texts."""
     if not html:
         return ""
     blocks, opened = parsed(html)
@@ -160,9 +166,7 @@ def extracted(html: str | None, template: frozenset[str] = frozenset(), main_pat
             continue
         if not has_main:
             letters, linked = len(line), sum(len(p.text) for p in kept if p.linked)
-            if line in template or (linked * 2 > letters and letters < SHORT):
-                continue
-            if main_path and not kept[0].path.startswith(main_path):
+            if (template and digest(line) in template) or (linked * 2 > letters and letters < SHORT):
                 continue
         out.append(line)
     return "\n".join(out)
@@ -174,7 +178,7 @@ def host_of(url) -> object:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, page, n, first, plain, linked): how often a page has a token, where first, its text in and outside links."""
+    """(host, page, token, n, first): how often a page has a token and where first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,46 +189,40 @@ def tokens(pages: DataFrame) -> DataFrame:
                     blocks, opened = parsed(html or "")
                     found: dict[str, list[int]] = {}
                     for place, path in enumerate(opened):
-                        found.setdefault(path, [0, place, 0, 0])[0] += 1
+                        found.setdefault(path, [0, place])[0] += 1
                     for b in blocks:
-                        for p in b:
-                            if p.path in found:
-                                found[p.path][3 if p.linked else 2] += 0 if p.outside else len(p.text)
-                        if not any(p.main for p in b) and len(line := joined(b)) <= SHORT and line:
-                            found.setdefault("=" + line, [0, len(opened), 0, 0])[0] += 1
+                        # the same pieces of a block that extraction joins
+                        kept = [p for p in b if not p.outside]
+                        if kept and not any(p.main for p in kept) and (line := joined(kept)):
+                            found.setdefault("=" + digest(line), [0, len(opened)])[0] += 1
                     rows += [(host, page, token, *v) for token, v in found.items()]
                 if rows:
-                    kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "page", "token", "n", "first", "plain", "linked"])
+                    kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "page", "token", "n", "first"])
 
-    return pages.select("host", "page", "html").mapInArrow(lean(run), "host string, page long, token string, n int, first int, plain long, linked long")
+    return pages.select("host", "page", "html").mapInArrow(lean(run), "host string, page long, token string, n int, first int")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, texts array, main_path): the template texts of each host and its richest slot, from valid equivalence classes.
+    """(host, texts array): the digests of each host's template texts, from valid equivalence classes.
 
-    pages: (host, page, html). Everything is added up by host and token before the shuffle.
+    pages: (host, page, html), page being the same for equal html. Everything is added up before it is shuffled by host.
     """
-    salted = F.pmod("page", F.lit(64)).alias("salt")
-    by_token = tokens(pages).groupBy("host", "token", salted).agg(F.bit_xor(F.xxhash64("page", "n")).alias("v"), F.count("*").alias("on"), F.avg("first").alias("place"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked"))
-    by_token = by_token.groupBy("host", "token").agg(F.bit_xor("v").alias("vector"), F.sum("on").alias("on"), F.avg("place").alias("place"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked"))
+    by_page = tokens(pages).groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("first").alias("first"))
+    by_token = by_page.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on"), F.avg("first").alias("place"))
     by_token = written(by_token, "tokens")
-    many = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    many = pages.groupBy("host").agg(F.countDistinct("page").alias("pages"))
     classes = by_token.groupBy("host", "vector").agg(F.max("on").alias("on"), F.count("*").alias("tokens"), F.min("place").alias("from"), F.max("place").alias("to"))
     valid = classes.join(many, "host").where((F.col("on") >= 2) & (F.col("on") >= SUPPORT * F.col("pages")) & (F.col("from") <= F.col("to")))
-    in_class = by_token.join(valid.select("host", "vector"), ["host", "vector"])
-    text = F.when(F.col("token").startswith("="), F.struct(F.col("on"), F.expr("substring(token, 2)").alias("text")))
-    texts = F.transform(F.slice(F.sort_array(F.collect_list(text), asc=False), 1, TEMPLATE), lambda x: x["text"])
-    slots = F.when(~F.col("token").startswith("="), F.struct((F.col("plain") - F.col("linked")).alias("mass"), F.col("token").alias("path")))
-    parent = F.regexp_replace(F.max(slots)["path"], r"/(p|h\d|li|span|b|i|em|strong|td|tr|tbody|ul|ol|dd|dt)(\.[^/]*)?$", "")
-    return in_class.groupBy("host").agg(texts.alias("texts"), F.when(F.max(slots)["mass"] > 0, parent).alias("main_path"))
+    in_class = by_token.where(F.col("token").startswith("=")).join(valid.select("host", "vector"), ["host", "vector"])
+    return in_class.groupBy("host").agg(F.sort_array(F.collect_list(F.expr("substring(token, 2)"))).alias("texts"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    known = written(templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "templates")
-    rows = rows.join(small_side(known, 5_000), "host", "left").select("page_id", "url", "html", "texts", "main_path")
+    known = written(templates(rows.select("host", F.xxhash64("html").alias("page"), "html")), "templates")
+    rows = rows.join(small_side(known, 5_000), "host", "left").select("page_id", "url", "html", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, frozenset[str]] = {}
@@ -232,11 +230,11 @@ def main_text(pages: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for html, texts, path in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True):
+                for html, texts in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True):
                     key = tuple(texts or ())
                     if key not in seen:
                         seen = {key: frozenset(key)} if len(seen) > 256 else seen | {key: frozenset(key)}
-                    out.append(extracted(html, seen[key], path))
+                    out.append(extracted(html, seen[key]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(lean(run), "page_id long, url string, text string")
