@@ -5,7 +5,8 @@ scored by its longest known character n-grams: all of the order in which any is
 one. A text gets the language with the largest sum over its words; its score is that language's share after a softmax
 of the mean over the words.
 
-Words are runs of ASCII letters and bytes outside ASCII, lower-cased in ASCII and Latin-1. A text that is null or has no
+Words are runs of ASCII letters and characters outside ASCII other than Unicode white space and punctuation, lower-cased
+in ASCII and Latin-1; the n-grams of a word are those of the whole word. A text that is null or has no
 letter is `und` with score 0, as is every text if nothing could be learned. Ties go to the first language by name.
 Learning takes labelled rows with non-null text, a bounded sample of them: those with the smallest hashes, about
 TRAIN_DOCS at most (a classifier's sample; prediction covers every row and the whole text). Rows with a null doc_id are
@@ -14,6 +15,7 @@ never learned from. Repeated rows are predicted each.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,23 +39,36 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 
 
+#: Characters outside ASCII, up to U+FFFF, that end a word.
+_ENDS = np.array([0x80 <= c and (chr(c).isspace() or unicodedata.category(chr(c))[0] in "PZ") for c in range(1 << 16)])
+
+
 def _spaced(data: np.ndarray) -> np.ndarray:
-    """Everything but letters becomes a blank; Latin-1 capitals (0xC3 0x80-0x9E but 0x97) become small."""
+    """Everything but letters becomes a blank, a character of several bytes as many; Latin-1 capitals (0xC3 0x80-0x9E but 0x97) become small."""
     out = np.where(_LETTER[data], data, np.uint8(0x20))
     after = np.flatnonzero(out[:-1] == 0xC3) + 1 if len(out) > 1 else np.zeros(0, np.int64)
     after = after[(out[after] >= 0x80) & (out[after] <= 0x9E) & (out[after] != 0x97)]
     out[after] += 0x20
+    for lead, end, size in ((0xC2, 0xE0, 2), (0xE0, 0xF0, 3)):
+        at = np.flatnonzero((data >= lead) & (data < end))
+        at = at[at + size <= len(data)]
+        code = data[at].astype(np.int64) & (0xFF >> (size + 1))
+        for j in range(1, size):
+            code = code << 6 | (data[at + j] & 0x3F)
+        at = at[_ENDS[code]]
+        for j in range(size):
+            out[at + j] = 0x20
     return out
 
 
 _MOVES = {n: stream(60 + n, n) | U(1) for n in ORDERS}
-#: Characters of a word that its n-grams are taken from.
-LONGEST = 64
+#: Characters of words whose n-grams are scored at a time; a longer word makes a batch of its own.
+AT_ONCE = 1 << 17
 
 
 def gram_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(characters of all words between boundary marks, word of each character; -1 between words)."""
-    text = "\n".join(f"<{w[:LONGEST]}>" for w in words)
+    text = "\n".join(f"<{w}>" for w in words)
     chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     gap = chars == 10
     return chars, np.where(gap, -1, np.cumsum(gap))
@@ -83,6 +98,14 @@ class Model:
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words by their longest known n-grams; 0 for a word without any known character."""
+        ends = np.cumsum([len(w) for w in words])
+        if len(words) > 1 and ends[-1] > AT_ONCE:
+            parts, first = [], 0
+            while first < len(words):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")))
+                parts.append(self.unseen(words[first:last]))
+                first = last
+            return np.concatenate(parts)
         out = np.zeros((len(words), len(self.languages)), np.float32)
         chars, word = gram_runs(words)
         open_ = np.ones(len(words) + 1, bool)  # the last stands for gaps
