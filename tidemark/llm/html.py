@@ -3,7 +3,7 @@
 Every page becomes tokens: opening tags with the path of elements above them, and digests of the texts outside
 article-like elements. Tokens of a host whose occurrence vectors over its pages are equal form an equivalence class; equal vectors are
 found by one pre-aggregated fingerprint a token, so no page set of a host is ever gathered. A class is valid if it
-occurs on enough of the host's pages and its tokens keep their order, judged by nested mean positions. The valid classes
+occurs on enough of the host's pages; the order of its tokens is not tested and classes are not nested. The valid classes
 make the host's template. The main text of a page is what its article-like elements hold or, if it has none, all text
 that isn't the template's, wherever it stands and whatever other pages of the host look like. Pages of a host with equal
 html count as one, so that copies of a page don't make its text a template.
@@ -208,12 +208,12 @@ def templates(pages: DataFrame) -> DataFrame:
 
     pages: (host, page, html), page being the same for equal html. Everything is added up before it is shuffled by host.
     """
-    by_page = tokens(pages).groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("first").alias("first"))
-    by_token = by_page.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on"), F.avg("first").alias("place"))
+    by_page = tokens(pages).groupBy("host", "token", "page").agg(F.max("n").alias("n"))
+    by_token = by_page.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on"))
     by_token = written(by_token, "tokens")
     many = pages.groupBy("host").agg(F.countDistinct("page").alias("pages"))
-    classes = by_token.groupBy("host", "vector").agg(F.max("on").alias("on"), F.count("*").alias("tokens"), F.min("place").alias("from"), F.max("place").alias("to"))
-    valid = classes.join(many, "host").where((F.col("on") >= 2) & (F.col("on") >= SUPPORT * F.col("pages")) & (F.col("from") <= F.col("to")))
+    classes = by_token.groupBy("host", "vector").agg(F.max("on").alias("on"))
+    valid = classes.join(many, "host").where((F.col("on") >= 2) & (F.col("on") >= SUPPORT * F.col("pages")))
     in_class = by_token.where(F.col("token").startswith("=")).join(valid.select("host", "vector"), ["host", "vector"])
     return in_class.groupBy("host").agg(F.sort_array(F.collect_list(F.expr("substring(token, 2)"))).alias("texts"))
 
