@@ -120,6 +120,47 @@ def test_recall_on_clusters(spark):
     assert hits / (200 * 20) >= 0.9
 
 
+def brute_nearest(rows, asked, k):
+    """{query: [(vec_id, score)]} over rows that repeat ids; a query id in several vectors takes the best score of each row."""
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float64)
+    out = {}
+    for q in sorted({i for i in ids.tolist() if asked(i)}):
+        score = np.max([(v * x).sum(axis=1) for x in v[ids == q]], axis=0)
+        at = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
+        out[q] = [(int(ids[i]), float(score[i])) for i in at]
+    return out
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, v[i].tolist()) for i in range(60) for _ in range(25)]
+    rows += [(i, v[3].tolist()) for i in range(3, 50)] + [(20, v[5].tolist()), (200, v[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, ratio=1e9).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute_nearest(rows, lambda i: i % 20 == 0, 20)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    assert all(np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=1e-12) for q in want)
+
+
+@pytest.mark.parametrize("levels", [6, 1])
+def test_long_lists_are_split(spark, monkeypatch, levels):
+    for name, value in (("LISTS", 3), ("SPLIT", 200), ("PART", 60), ("BLOCK", 150), ("LEVELS", levels)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(20, 16))[rng.integers(0, 20, 1500)] + 0.4 * rng.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute_nearest(list(enumerate(v)), lambda i: i % 20 == 0, 20)
+    assert {q: len(x) for q, x in got.items()} == dict.fromkeys(want, 20)
+    assert sum(len(dict(got[q]).keys() & dict(want[q]).keys()) for q in want) >= 0.9 * 20 * len(want)
+    assert all(abs(s - float(v[i] @ v[q])) < 1e-9 for q, x in got.items() for i, s in x)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_documents import prose

@@ -2,17 +2,20 @@
 
 Centroids are fitted on a bounded sample; every vector is indexed in the list of its nearest centroid and, near a
 boundary, also in the lists of others almost as near, up to COPIES. A query walks an in-memory graph of the centroids and
-takes the lists whose distance is within RATIO of the nearest, and more until they hold enough vectors. Long lists are
-scored in bounded blocks of vectors against bounded blocks of queries, so no list is gathered in one task.
+takes the lists whose distance is within RATIO of the nearest, and more until they hold enough vectors. The graph has at
+most LISTS centroids; a list of more than SPLIT vectors is split again around centroids of its own, in blocks and as
+often as needed, so the number of lists grows with the rows and their length doesn't. What is still long after LEVELS
+splits is scored in bounded blocks of vectors against bounded blocks of queries, so no list is gathered in one task.
 
 Nearness is the largest inner product. For vectors of any norm it becomes a distance by one more component that fills
 each vector up to the largest norm; scores are inner products of the original vectors in double precision.
 
-Of vectors that are equal in every component only the K + 1 with the smallest ids can be among K nearest, since ties go
-to the smaller id; the others are left out of the lists (they are still queries). Vectors that are null, zero, of another
-than the most common dimension, or that hold null or non-finite components take no part. Null ids take no part. Rows
-that repeat an id are candidates each; a query leaves out all rows of its own id. Fewer candidates than K are all
-returned; without any, nothing is.
+Of vectors that are equal in every component only the first K rows of an id and the first 2 K rows by id can be among K
+nearest, since ties go to the smaller id and a query leaves out one id; the others are left out of the lists (they are
+still queries). Vectors that are null, zero, of another than the most common dimension, or that hold null or non-finite
+components take no part. Null ids take no part. Rows that repeat an id are candidates each, equal or not; a query leaves
+out all rows of its own id, and an id that is asked in several different vectors is answered from all of them together.
+Fewer candidates than K are all returned; without any, nothing is.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import by_group, lean, written
+from .common import by_group, lean, small_side, written
 from .kernels import stream
 
 #: Vectors that centroids are fitted on and that bound the scores of results from below, lists at most, vectors a list on average, rounds of fitting.
@@ -35,6 +39,10 @@ COPIES, NEAR = 4, 1.08
 RATIO, ENOUGH = 1.16, 40
 #: Vectors and queries of a block.
 BLOCK, BATCH = 8192, 2048
+#: Vectors of a list beyond which it is split, of a part on average, parts of a split at most, splits on top of each other.
+SPLIT, PART, PARTS, LEVELS = 16_384, 1024, 64, 6
+#: Sampled vectors that the centroids of a split are fitted on; copies of a boundary vector and least parts of a query in it.
+FITTED, HALVES, LEAST = 4096, 2, 4
 #: Neighbours of a centroid in the graph.
 DEGREE = 16
 
@@ -139,11 +147,12 @@ def _block_scores(k: int):
         ids = tables.column("id").combine_chunks().to_numpy()
         is_query = tables.column("query").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         floor = tables.column("floor").combine_chunks().to_numpy(zero_copy_only=False)
+        rows = tables.column("row").combine_chunks().to_numpy()
         vectors = _matrix(tables.column("vector"))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             ask = is_query[a:b]
-            qid, q, least, vid, v = ids[a:b][ask], vectors[a:b][ask], floor[a:b][ask], ids[a:b][~ask], vectors[a:b][~ask]
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            qid, q, least, vid, v, own = ids[a:b][ask], vectors[a:b][ask], floor[a:b][ask], ids[a:b][~ask], vectors[a:b][~ask], rows[a:b][~ask]
+            out: list[tuple[np.ndarray, ...]] = []
             for i in range(0, len(qid), 256) if len(vid) else ():
                 rough = q[i : i + 256] @ v.T
                 rough[qid[i : i + 256, None] == vid[None, :]] = -np.inf
@@ -152,29 +161,30 @@ def _block_scores(k: int):
                     # rounding may move equal products apart, so all near the last place are scored again
                     near = np.flatnonzero((rough[j] >= last[j] - 1e-9 * max(1.0, abs(last[j]))) & np.isfinite(rough[j])) if np.isfinite(last[j]) else np.flatnonzero(np.isfinite(rough[j]))
                     score = (v[near] * q[i + j]).sum(axis=1)
-                    order = np.lexsort((vid[near], -score))[:k]
-                    out.append((np.full(len(order), qid[i + j]), vid[near][order], score[order]))
+                    order = np.lexsort((own[near], vid[near], -score))[:k]
+                    out.append((np.full(len(order), qid[i + j]), vid[near][order], own[near][order], score[order]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "row", "score"])
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATIO) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of vectors (vec_id, embedding) where queries holds."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("query")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    kind = "array<float>" if vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("vector"), F.coalesce(queries, F.lit(False)).alias("query")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     size = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = written(rows.where(F.size("vector") == size["d"]), "vectors")
-    total = size["count"]
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
+    norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()[0]
+    first, questions = _first_of_equal(rows, k)
+    first = written(first, "candidates")
+    total = first.count()
     share = min(1.0, SAMPLE / total)
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "vector").toArrow()
+    picked = first.where(F.pmod(F.xxhash64("id", "row", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "vector").toArrow()
     sample, sample_ids = _matrix(picked.column("vector")), picked.column("id").to_numpy()
-    centre = centroids(_spread(sample if len(sample) else _matrix(rows.limit(1).toArrow().column("vector")), norm), min(LISTS, total // AVERAGE))
-    # ties go to the smaller id, so of equal vectors no more than k + 1 can be found
-    first = rows.select("id", "vector").withColumn("place", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("place") <= k + 1)
+    centre = centroids(_spread(sample if len(sample) else _matrix(first.limit(1).toArrow().column("vector")), norm), min(LISTS, total // AVERAGE))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,11 +196,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RAT
                 reach = np.take_along_axis(d, near, axis=1)
                 row, col = np.nonzero(reach <= NEAR * reach.min(axis=1, keepdims=True) + 1e-12)
                 at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int64)), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)], ["list", "id", "vector", "row"])
 
-    lists = written(first.select("id", "vector").mapInArrow(lean(filed), "list int, id long, vector array<double>"), "lists")
+    lists = written(first.mapInArrow(lean(filed), f"list long, id long, vector {kind}, row long"), "lists")
     held = np.zeros(len(centre), np.int64)
-    for r in lists.groupBy("list").count().collect():  # one row a list
+    for r in lists.groupBy("list").count().collect():  # at most LISTS rows
         held[r[0]] = r[1]
     graph = Graph(centre)
 
@@ -206,7 +216,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RAT
             score[ids[i : i + 256, None] == known_ids[None, :]] = -np.inf
             for j, row in enumerate(score):
                 inside = np.zeros(len(centre), bool)
-                inside[chosen[i + j]] = True
+                # what a split list holds may not all be searched
+                inside[chosen[i + j][held[chosen[i + j]] <= SPLIT]] = True
                 row[~inside[known_list]] = -np.inf
             out[i : i + 256] = np.partition(score, -k, axis=1)[:, -k]
         with np.errstate(invalid="ignore"):
@@ -220,18 +231,111 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RAT
             floor = floors(batch.column(0).to_numpy(), q, chosen)
             at = pa.array(np.repeat(np.arange(len(q)), [len(c) for c in chosen]))
             picked = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(picked.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(floor).take(at)], ["list", "id", "vector", "floor"])
+            yield pa.RecordBatch.from_arrays([pa.array(picked.astype(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(floor).take(at)], ["list", "id", "vector", "floor"])
 
-    asks = written(rows.where("query").select("id", "vector").mapInArrow(lean(asked), "list int, id long, vector array<double>, floor double"), "asked")
-    per_list = asks.groupBy("list").count().collect()
-    grid = rows.sparkSession.createDataFrame([(r[0], int(-(-held[r[0]] // BLOCK)) or 1, -(-r[1] // BATCH)) for r in per_list] or [(0, 1, 1)], "list int, blocks int, batches int")
+    asks = written(questions.mapInArrow(lean(asked), f"list long, id long, vector {kind}, floor double"), "asked")
+    lists, asks, sizes = _split(lists, asks, norm, ratio)
+    grid = sizes.join(asks.groupBy("list").agg(F.count("*").alias("asks")), "list")
+    grid = small_side(written(grid.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asks") / BATCH).cast("int").alias("batches")), "grid"))
 
     def dealt(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
-        df = df.join(F.broadcast(grid), "list").withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return df.select(F.xxhash64("list", "_blocks", "_batches").alias("block"), "id", F.lit(query).alias("query"), "vector", "floor" if query else F.lit(0.0).alias("floor"))
+        df = df.join(grid, "list").withColumn(f"_{own}", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return df.select(F.xxhash64("list", "_blocks", "_batches").alias("block"), "id", F.lit(query).alias("query"), "vector", F.lit(0).cast("long").alias("row") if query else "row", "floor" if query else F.lit(0.0).alias("floor"))
 
     both = dealt(lists, "blocks", "batches", False).unionByName(dealt(asks, "batches", "blocks", True))
-    scored = by_group(both, "block", _block_scores(k), "query_id long, vec_id long, score double", rows=16384)
-    best = scored.dropDuplicates(["query_id", "vec_id", "score"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    scored = by_group(both, "block", _block_scores(k), "query_id long, vec_id long, row long, score double", rows=16384)
+    # a row is in several lists; as a query it may be asked in several, too
+    best = scored.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _first_of_equal(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates (id, vector, row) without equal vectors that can't be found, queries (id, vector), each once).
+
+    row tells rows of an id with equal vectors apart. Only vectors whose hash recurs are gathered by vector, and of those
+    no more than the first ones leave a task.
+    """
+    every = rows.select("id", "vector", F.xxhash64("vector").alias("h"), "query")
+    again = small_side(written(every.groupBy("h").count().where("count > 1").select("h"), "equal"))
+    once, several = every.join(again, "h", "left_anti"), every.join(again, "h", "left_semi")
+    copy = F.row_number().over(Window.partitionBy("vector", "id").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id", "copy"))
+    kept = several.select("id", "vector", "h").withColumn("copy", copy).where(F.col("copy") <= k).withColumn("place", place).where(F.col("place") <= 2 * k)
+    candidates = once.select("id", "vector", F.col("h").alias("row")).unionByName(kept.select("id", "vector", F.xxhash64("h", "copy").alias("row")))
+    asked = several.where("query").select("id", "vector", "h").withColumn("copy", copy).where("copy = 1")
+    return candidates, once.where("query").select("id", "vector").unionByName(asked.select("id", "vector"))
+
+
+def _fitted(norm: float):
+    """Centroids of each list's sampled vectors."""
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = table.column("list").combine_chunks().to_numpy()
+        parts = table.column("parts").combine_chunks().to_numpy()
+        cut = np.flatnonzero(np.diff(key, prepend=~key[0], append=~key[-1]))
+        vectors = _matrix(table.column("vector"))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            centre = centroids(_spread(vectors[a:b], norm), int(parts[a]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(centre), key[a])), pa.array(list(centre), pa.list_(pa.float64()))], ["list", "vector"])
+
+    return run
+
+
+def _refiled(norm: float, ratio: float):
+    """Vectors and queries of a block of a long list to its parts; the rows without an id are the parts' centroids."""
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block = table.column("block").combine_chunks().to_numpy()
+        kind = table.column("kind").combine_chunks().to_numpy()
+        cut = np.flatnonzero(np.diff(block, prepend=~block[0], append=~block[-1]))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            part, own = table.slice(a, b - a), kind[a:b]
+            centre = _matrix(part.column("vector").take(pa.array(np.flatnonzero(own == 0))))
+            # the same order of the centroids in every block
+            centre = centre[np.lexsort(centre.T[::-1])]
+            for k, copies, reach in ((1, HALVES, NEAR), (2, len(centre), ratio)):
+                at = np.flatnonzero(own == k)
+                for i in range(0, len(at), 1024):
+                    some = part.take(pa.array(at[i : i + 1024]))
+                    v = _matrix(some.column("vector"))
+                    d = np.sqrt(_squared(_spread(v, norm) if k == 1 else np.column_stack([v, np.zeros(len(v))]), centre))
+                    order = np.argsort(d, axis=1, kind="stable")[:, :copies]
+                    far = np.take_along_axis(d, order, axis=1)
+                    keep = far <= reach * far[:, :1] + 1e-12
+                    if k == 2:
+                        keep[:, :LEAST] = True
+                    row, col = np.nonzero(keep)
+                    out = some.select(["list", "kind", "id", "vector", "row", "floor"]).take(pa.array(row))
+                    out = out.append_column("part", pa.array(order[row, col].astype(np.int32)))
+                    yield from out.combine_chunks().to_batches()
+
+    return run
+
+
+def _split(lists: DataFrame, asks: DataFrame, norm: float, ratio: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lists, asks, sizes of the lists) with lists of more than SPLIT vectors split until none is or LEVELS are through."""
+    kind = lists.schema["vector"].dataType.simpleString()
+    moves = f"list long, kind int, id long, vector {kind}, row long, floor double, part int"
+    for level in range(LEVELS + 1):
+        sizes = written(lists.groupBy("list").count(), "sizes")
+        long_ = sizes.where(F.col("count") > SPLIT)
+        if level == LEVELS or long_.isEmpty():
+            return lists, asks, sizes
+        parts = F.least(F.lit(PARTS), F.greatest(F.lit(2), F.ceil(F.col("count") / PART))).cast("int")
+        plan = small_side(written(long_.select("list", parts.alias("parts"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), (F.lit(FITTED) / F.col("count")).alias("share")), "plan"))
+        here = lists.join(plan, "list")
+        sample = here.where(F.pmod(F.xxhash64("id", "row", F.lit(level)), F.lit(1 << 20)) < F.col("share") * (1 << 20) + 1)
+        heads = written(by_group(sample.select("list", "parts", "vector"), "list", _fitted(norm), "list long, vector array<double>", rows=FITTED), "heads")
+        null = F.lit(None).cast("long")
+        every = [
+            heads.join(plan, "list").select("list", F.lit(0).alias("kind"), null.alias("id"), F.col("vector").cast(kind).alias("vector"), null.alias("row"), F.lit(0.0).alias("floor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")),
+            here.select("list", F.lit(1).alias("kind"), "id", "vector", "row", F.lit(0.0).alias("floor"), F.pmod(F.xxhash64("id", "row"), F.col("blocks")).cast("int").alias("b")),
+            asks.join(plan, "list").select("list", F.lit(2).alias("kind"), "id", "vector", null.alias("row"), "floor", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b")),
+        ]
+        dealt = every[0].unionByName(every[1]).unionByName(every[2]).select(F.xxhash64("list", "b").alias("block"), "list", "kind", "id", "vector", "row", "floor")
+        moved = written(by_group(dealt, "block", _refiled(norm, ratio), moves, rows=BLOCK, order=("kind",)), "parts")
+        named = moved.withColumn("list", F.xxhash64("list", "part", F.lit(level)))
+        lists = written(lists.join(plan, "list", "left_anti").unionByName(named.where("kind = 1").select("list", "id", "vector", "row")), "lists")
+        asks = written(asks.join(plan, "list", "left_anti").unionByName(named.where("kind = 2").select("list", "id", "vector", "floor")), "asked")
+    raise AssertionError
