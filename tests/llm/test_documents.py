@@ -89,6 +89,53 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_texts_of_a_repeated_doc_id(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near_a = a.replace(a.split()[0], "other", 1)
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (1, c), (1, b), (0, near_a), (9, None), (9, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 0, False), (3, 0, False), (7, 0, False), (7, 0, False), (9, 0, False), (9, 9, True)]
+    # each text by itself: every text stays once
+    left = sorted(((r.doc_id, r.text) for r in near_dedup.deduplicated(docs).collect()), key=str)
+    assert left == sorted([(0, near_a), (1, c), (1, b), (9, None)], key=str)
+
+
+@pytest.mark.parametrize("small", [512, 8])
+def test_large_groups_of_near_copies(spark, monkeypatch, small):
+    for name in ("SMALL", "BLOCK"):
+        monkeypatch.setattr(near_dedup, name, small)
+    rng = random.Random(15)
+    texts = []
+    for g in range(3):  # boilerplate that all share, and copies of copies that drift away from the first
+        base = prose(rng, 60).split()
+        for _ in range(40):
+            w = list(base)
+            w[rng.randrange(len(w))] = "changed" + str(rng.randrange(9))
+            texts.append(" ".join(w))
+            if rng.random() < 0.2:
+                base = w
+    rng.shuffle(texts)
+    sets = [set(shingles(t)) for t in texts]
+    got = near_dedup.near_duplicates(frame(spark, texts), 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(components(sets, 80)))
+
+
+def test_pairs_with_much_in_common_are_found(spark, monkeypatch):
+    for name in ("SMALL", "BLOCK"):
+        monkeypatch.setattr(near_dedup, name, 16)
+    rng = random.Random(16)
+    shared = prose(rng, 120)
+    texts = []
+    for _ in range(100):
+        own = prose(rng, 60).split()
+        texts.append(shared + " " + " ".join(own))
+        own[30] = "changed"
+        texts.append(shared + " " + " ".join(own))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, texts), 80).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(7)
     items = [prose(rng, n) for n in (15, 30, 30, 58, 5, 3)]
