@@ -1,6 +1,6 @@
 """Language identification by known words, backing off to character n-grams for the rest.
 
-The model knows the most frequent words with their log frequency in each language. A word that it doesn't know is
+The model knows every word of its sample with its log frequency in each language. A word that it doesn't know is
 scored by its longest known character n-grams: all of the order in which any is known, from five characters down to
 one. A text gets the language with the largest sum over its words; its score is that language's share after a softmax
 of the mean over the words.
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -29,8 +30,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import aside, lean
 from .kernels import U, pieces, splitmix, stream, text_buffers, words
 
-#: Labelled documents that are learned from, about, at most; words that the model keeps; scores that a worker remembers.
-TRAIN_DOCS, WORDS, REMEMBERED = 12_000, 60_000, 200_000
+#: Labelled documents that are learned from, about, at most; scores that a worker remembers.
+TRAIN_DOCS, REMEMBERED = 12_000, 200_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Words up to which more of them make the score surer.
 SURE = 20
@@ -143,38 +144,49 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(lean(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def learned(labelled: DataFrame, train_docs: int = TRAIN_DOCS, most_words: int = WORDS) -> Model:
-    """Fit on labelled (doc_id, lang, text). What comes to the driver is bounded by most_words times the languages."""
+def learned(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """Fit on labelled (doc_id, lang, text). What comes to the driver is bounded by the words of train_docs documents."""
     labelled = labelled.where("doc_id is not null and lang is not null and text is not null")
     total = labelled.count()
     share = min(1.0, train_docs / max(total, 1))
     sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(31)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)) if share < 1 else labelled
-    by_word = counted(sample).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    rows = by_word.orderBy(F.desc("n"), "word").limit(most_words).collect()
-    languages = sorted({lang for r in rows for lang in r["by"]})
-    place = {lang: i for i, lang in enumerate(languages)}
+    found = counted(sample).toArrow().combine_chunks()
+    return fitted(found.column("lang"), found.column("word"), found.column("n"))
+
+
+def fitted(lang: pa.ChunkedArray, word: pa.ChunkedArray, n: pa.ChunkedArray) -> Model:
+    """The model of counted words; arrays of their characters instead of an object a word."""
+    languages = sorted(pc.unique(lang).to_pylist())
     k = len(languages)
-    counts = np.zeros((len(rows), k))
-    for i, r in enumerate(rows):
-        for lang, n in r["by"].items():
-            counts[i, place[lang]] = n
-    vocabulary = [r["word"] for r in rows]
-    chars, word = gram_runs(vocabulary)
+    coded = word.combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    place = pc.index_in(lang, pa.array(languages, pa.string())).to_numpy(zero_copy_only=False) if k else np.zeros(0, np.int64)
+    counts = np.zeros((len(coded.dictionary), k), np.float32)
+    np.add.at(counts, (coded.indices.to_numpy(zero_copy_only=False), place), n.to_numpy())
+    vocabulary = coded.dictionary.to_pylist()
+    del coded, lang, word, n
+    table = np.log((counts + 0.05) / (counts.sum(axis=0, dtype=np.float64) + 1.0)).astype(np.float32)
+    joined = np.frombuffer(b" ".join(w.encode() for w in vocabulary), np.uint8)
+    h, *_ = words(np.array([0, len(joined)]), joined)
+    by_hash = np.argsort(h)
     grams, gram_rows = [], []
-    for n in ORDERS if vocabulary else ():
-        h, owner = gram_hashes(chars, word, n)
-        known, back = np.unique(h, return_inverse=True)
-        total = np.zeros((len(known), k))
-        np.add.at(total, back, counts[owner])
+    for order in ORDERS if vocabulary else ():
+        known, total = np.zeros(0, np.uint64), np.zeros((0, k))
+        for at in range(0, len(vocabulary), 1 << 16):  # bounds the arrays of characters
+            g, owner = gram_hashes(*gram_runs(vocabulary[at : at + (1 << 16)]), order)
+            here, back = np.unique(g, return_inverse=True)
+            some = np.stack([np.bincount(back, counts[at + owner, i], len(here)) for i in range(k)], axis=1)
+            both, back = np.unique(np.concatenate([known, here]), return_inverse=True)
+            added = np.zeros((len(both), k))
+            added[back[: len(known)]] = total
+            added[back[len(known) :]] += some
+            known, total = both, added
         grams.append(known)
         gram_rows.append(np.log((total + 0.05) / (total.sum(axis=0) + 1.0)).astype(np.float32))
     every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-    order = np.argsort(every)
-    joined = np.frombuffer(b" ".join(w.encode() for w in vocabulary), np.uint8)
-    h, *_ = words(np.array([0, len(joined)]), joined)
-    by_hash = np.argsort(h)
-    table = np.log((counts + 0.05) / (counts.sum(axis=0) + 1.0)).astype(np.float32)
-    return Model(languages, h[by_hash], table[by_hash], every[order], np.concatenate(gram_rows)[order] if gram_rows else np.zeros((0, k), np.float32))
+    order_ = np.argsort(every)
+    return Model(languages, h[by_hash], table[by_hash], every[order_], np.concatenate(gram_rows)[order_] if gram_rows else np.zeros((0, k), np.float32))
 
 
 def predicted(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
