@@ -120,6 +120,62 @@ def test_recall_on_clusters(spark):
     assert hits / (200 * 20) >= 0.9
 
 
+WRAP = '<html><body><div class="top"><a href="/">Start</a></div><article><h1>Title {i}</h1>{body}</article><div class="low">Our address</div></body></html>'
+
+
+def test_slots_keep_what_names_only_resemble(spark):
+    for n in (1, 12):
+        bodies = {i: f"<p>Story {i} goes on.</p>" for i in range(n)}
+        bodies[0] = '<p class="notice-of-meeting">The notice.</p><section id="search-results-analysis"><p>The analysis.</p></section><div class="cookie-notice">Cookies</div><p>End.</p>'
+        rows = [(i, f"http://h/{i}", WRAP.format(i=i, body=b)) for i, b in bodies.items()]
+        got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+        assert got[0] == "Title 0\nThe notice.\nThe analysis.\nEnd."
+    assert not html.says_so("notice-of-meeting") and html.says_so("adSlot2") and html.says_so("reader-comments")
+
+
+def test_template_within_articles(spark):
+    """A text in every article of a host is template, one in most of them isn't; of few pages none is."""
+    def page(i):
+        often = "<p>A line that many share.</p>" if i % 3 else ""
+        return WRAP.format(i=i, body=f"<p>Posted by the desk.</p><p>Story {i}.</p>{often}")
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(html.FULL)] + [(100 + i, f"http://few/{i}", page(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[0] == "Title 0\nStory 0." and got[1] == "Title 1\nStory 1.\nA line that many share."
+    assert got[101] == "Title 1\nPosted by the desk.\nStory 1.\nA line that many share."
+
+
+def test_repeated_rows_are_like_single_ones(spark):
+    def page(i):
+        return f'<html><body><div class="top"><a href="/">Start</a> <a href="/n">News</a></div><div class="c1"><p>Story {i} goes on {"and on " * i}.</p></div><div class="low">Our address</div></body></html>'
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(12)]
+    once = sorted(map(tuple, html.main_text(spark.createDataFrame(rows, PAGES)).collect()))
+    twice = sorted(map(tuple, html.main_text(spark.createDataFrame(rows * 2, PAGES)).collect()))
+    assert twice == sorted(once * 2) and once[3][2] == "Story 3 goes on and on and on and on ."
+
+
+def test_classes_keep_order_and_nest():
+    before = np.array([[0, 1, 1, 1], [0, 0, 1, 1], [0, 1, 0, 1], [0, 0, 0, 0]], bool)  # 1 and 2 stand either way
+    assert html.ordered(before).tolist() == [0, 2, 3]
+    e = html.Evidence([1, 1, 2, 2, 3, 3], [10, 11, 20, 21, 30, 31])
+    e.add(html.Page([10, 20, 21, 20, 21, 11, 30, 31]))
+    assert not e.crossing and e.before[1].tolist() == [[False, True], [False, False]]
+    e.add(html.Page([10, 20, 11, 21, 31, 30]))
+    assert e.crossing == {(1, 2)} and e.before[3].all(where=~np.eye(2, dtype=bool))
+
+
+def test_order_decides_what_is_template(spark):
+    """A text whose place among the template's tokens changes from page to page is no template."""
+    def page(i):
+        fixed, loose = '<div class="low">Our address</div>', '<div class="x">A wandering line</div>'
+        body = f'<div class="c"><p>Story {i}.</p></div>'
+        return f'<html><body><div class="top">Welcome here</div>{loose + body + fixed if i % 2 else body + fixed + loose}</body></html>'
+
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(10)], PAGES)).collect()}
+    assert got[0] == "Story 0.\nA wandering line" and got[1] == "A wandering line\nStory 1."
+
+
 def brute_nearest(rows, asked, k):
     """{query: [(vec_id, score)]} over rows that repeat ids; a query id in several vectors takes the best score of each row."""
     ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float64)
