@@ -58,3 +58,26 @@ def test_group_size_changes_no_result(spark, monkeypatch):
         rows[group] = sorted(map(tuple, substring.repeated_passages(docs).collect()))
     assert rows[8] == rows[1024]
     assert {r[0] for r in rows[8]} == set(range(27))
+
+
+@pytest.mark.parametrize("group", [1024, 64])
+def test_edited_copies_of_one_passage_are_all_found(spark, monkeypatch, group):
+    monkeypatch.setattr(substring, "GROUP", group)
+    rng = random.Random(17)
+    p = prose(rng, 56).split()
+    texts = []
+    for i in range(1500 if group == 1024 else 300):
+        q = list(p)
+        q[rng.randrange(56)] = f"w{i}"
+        texts.append(" ".join([prose(rng, 5), *q, prose(rng, 5)]))
+    found = {r.doc_id for r in substring.repeated_passages(frame(spark, texts)).collect()}
+    assert found == set(range(len(texts)))
+
+
+def test_columns_of_other_tables_and_repeated_ids(spark):
+    rng = random.Random(18)
+    shared = prose(rng, 60)
+    rows = [(1, prose(rng, 20) + " " + shared, 1, 2, 3), (1, prose(rng, 80), 1, 2, 3), (2, shared, 1, 2, 3), (2, shared, 1, 2, 3), (3, prose(rng, 90), 1, 2, 3), (None, shared, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value int, n int, rep_doc_id int")
+    got = {(r.doc_id, r.rep_doc_id) for r in substring.repeated_passages(docs).collect()}
+    assert got == {(1, 1), (2, 1)}

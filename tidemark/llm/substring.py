@@ -116,40 +116,75 @@ def windows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "value long, doc_id long, place int, n_left short, n_right short")
 
 
+class _Seen:
+    """Which keys a task has met of late: a table that forgets by overwriting, so never too small an answer is given."""
+
+    def __init__(self, bits: int = 18) -> None:
+        self.keys, self.mask = np.zeros(1 << bits, np.uint64), U((1 << bits) - 1)
+
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys & self.mask).astype(np.int64)
+        out = self.keys[slot] != keys
+        _, first = np.unique(keys, return_index=True)
+        once = np.zeros(len(keys), bool)
+        once[first] = True
+        out &= once
+        self.keys[slot[out]] = keys[out]
+        return out
+
+
+_WEIGHTS = stream(52, 2 * TOKENS - 1) | U(1)
+
+
+def _hits_of(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(text of each hit, then its fields) of a column of lists of hits."""
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), *(flat.field(i).to_numpy() for i in range(5))
+
+
 def _around(hits: DataFrame) -> DataFrame:
-    """The hits of each document with the tokens of their interval [l, r], up to SIDE on either side of the shared one."""
+    """The hits of each document with the tokens of their interval [l, r], up to SIDE on either side of the shared one.
+
+    key stands for these tokens and their place in the window; a task leaves the tokens out where it gave them before.
+    """
+    names = ["value", "n", "doc_id", "place", "key", "around", "from_", "to_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = np.arange(-SIDE, SIDE + 1)
-        names = ["value", "n", "doc_id", "place", "around", "from_", "to_"]
+        seen = _Seen()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids, lists = part.column(0).to_numpy(), part.column(2)
-                flat = lists.flatten()
-                values, counts, places, left, right = (flat.field(i).to_numpy() for i in range(5))
-                begin = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+                ids = part.column(0).to_numpy()
+                text, values, counts, places, left, right = _hits_of(part.column(2))
                 for a, grams, first, last in _token_runs(part.column(1)):
-                    for k in range(len(first)):
-                        mine = slice(int(begin[a + k]), int(begin[a + k + 1]))
-                        own = grams[first[k] : last[k]]
-                        c = places[mine].astype(np.int64)
-                        ok = c < len(own)
-                        if len(own):
-                            token = own[np.minimum(c, len(own) - 1)]
+                    lo, hi = np.searchsorted(text, [a, a + len(first)])
+                    for b in range(int(lo), int(hi), 4096):
+                        mine = slice(b, min(b + 4096, int(hi)))
+                        k = text[mine] - a
+                        c = first[k] + places[mine]
+                        ok = c < last[k]
+                        if len(grams):
+                            token = grams[np.minimum(c, len(grams) - 1)]
                             # another text of a repeated id may stand at the same place
                             ok &= np.any([splitmix(token ^ s).view(np.int64) == values[mine] for s in _SEEDS], axis=0)
                         if not ok.any():
                             continue
-                        c, before, after = c[ok], left[mine][ok].astype(np.int64), right[mine][ok].astype(np.int64)
-                        where = c[:, None] + span
-                        there = (where >= 0) & (where < len(own)) & (span >= -before[:, None]) & (span <= after[:, None])
-                        near = np.where(there, (own[np.clip(where, 0, len(own) - 1)] >> U(48)).astype(np.uint16), 0)
+                        k, c, own = k[ok], c[ok], values[mine][ok]
+                        before = np.minimum(left[mine][ok], c - first[k]).astype(np.int64)
+                        after = np.minimum(right[mine][ok], last[k] - 1 - c).astype(np.int64)
+                        there = (span >= -before[:, None]) & (span <= after[:, None])
+                        near = np.where(there, (grams[np.clip(c[:, None] + span, 0, len(grams) - 1)] >> U(48)).astype(np.uint16), np.uint16(0))
+                        key = splitmix((near * _WEIGHTS).sum(axis=1, dtype=np.uint64) + U(128) * before.astype(np.uint64) + after.astype(np.uint64))
+                        fresh = seen.new(splitmix(key ^ own.view(np.uint64)))
+                        size = np.where(fresh, near.shape[1] * 2, 0)
+                        offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+                        around = pa.Array.from_buffers(pa.binary(), len(k), [pa.py_buffer(np.packbits(fresh, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(near[fresh].tobytes())])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(values[mine][ok]), pa.array(counts[mine][ok]), pa.array(np.full(len(c), ids[a + k])), pa.array(c.astype(np.int32)), pa.array([x.tobytes() for x in near], pa.binary()), pa.array((SIDE - before).astype(np.int16)), pa.array((SIDE + after + 1).astype(np.int16))], names
+                            [pa.array(own), pa.array(counts[mine][ok]), pa.array(ids[a + k]), pa.array((c - first[k]).astype(np.int32)), pa.array(key.view(np.int64)), around, pa.array((SIDE - before).astype(np.int16)), pa.array((SIDE + after + 1).astype(np.int16))], names
                         )
 
-    return hits.mapInArrow(lean(run), "value long, n long, doc_id long, place int, around binary, from_ short, to_ short")
+    return hits.mapInArrow(lean(run), "value long, n long, doc_id long, place int, key long, around binary, from_ short, to_ short")
 
 
 def _agreement(own: np.ndarray, there: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,38 +206,37 @@ def _agreement(own: np.ndarray, there: np.ndarray, other: np.ndarray) -> tuple[n
     return linked, start, stop, agree
 
 
-def _shifted(a: np.ndarray, there_a: np.ndarray, b: np.ndarray, there_b: np.ndarray) -> tuple[int, int, int, int] | None:
-    """Stretches of two windows that hold nearly the same tokens at other places, as after a word put in or left out."""
-    out: list[int] = []
-    for x, there_x, y, there_y in ((a, there_a, b, there_b), (b, there_b, a, there_a)):
-        held = np.append(0, np.cumsum(np.isin(x, y[there_y]) & there_x))
-        fits = np.flatnonzero(held[TOKENS:] - held[:-TOKENS] >= AGREE)
-        if not len(fits):
-            return None
-        out += [int(fits[0]), int(fits[-1]) + TOKENS]
-    return out[0], out[1], out[2], out[3]
-
-
 #: Tokens that agree in place if the shared token stands in the longer part of a passage with a gap.
 BESIDE = (AGREE - 1) // 2
 #: Words more or fewer up to which 46 tokens can still agree in 41 of 51; more lower the similarity under the bound.
 SHIFTS = (-2, -1, 1, 2)
 
 
-def _may_shift(own: np.ndarray, there: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Whether some 46 tokens of one agree in 41 with those of own in place and at one shift together, row by row."""
-    out = np.zeros(len(own), bool)
-    same = (own == one) & there
-    total = np.zeros((len(own), own.shape[1] + 1), np.int16)
+def _shifted(own: np.ndarray, there: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, start, stop) of the stretches of each row of own whose tokens agree in place or at one shift with other's."""
+    n, width = own.shape
+    found, start, stop = np.zeros(n, bool), np.full(n, width), np.zeros(n, np.int64)
+    same = (own == other) & there
     for s in SHIFTS:
         both = same.copy()
         if s > 0:
-            both[:, :-s] |= (own[:, s:] == one[:, :-s]) & there[:, s:]
+            both[:, :-s] |= (own[:, :-s] == other[:, s:]) & there[:, :-s]
         else:
-            both[:, -s:] |= (own[:, :s] == one[:, -s:]) & there[:, :s]
-        np.cumsum(both, axis=1, dtype=np.int16, out=total[:, 1:])
-        out |= (total[:, TOKENS:] - total[:, :-TOKENS] >= AGREE).any(axis=1)
-    return out
+            both[:, -s:] |= (own[:, -s:] == other[:, :s]) & there[:, -s:]
+        maybe = np.flatnonzero(np.count_nonzero(both, axis=1) >= AGREE)
+        if not len(maybe):
+            continue
+        total = np.zeros((len(maybe), width + 1), np.int16)
+        np.cumsum(both[maybe], axis=1, dtype=np.int16, out=total[:, 1:])
+        good = total[:, TOKENS:] - total[:, :-TOKENS] >= AGREE
+        some = good.any(axis=1)
+        hit = maybe[some]
+        if len(hit):
+            good = good[some]
+            found[hit] = True
+            first, last = good.argmax(axis=1), good.shape[1] - good[:, ::-1].argmax(axis=1)
+            start[hit], stop[hit] = np.minimum(start[hit], first), np.maximum(stop[hit], last + TOKENS - 1)
+    return found, start, stop
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -228,10 +262,10 @@ class Rows:
     who: np.ndarray
 
     def __post_init__(self) -> None:
-        # what several documents hold is a passage as a whole
-        alone = self.who >= 0
+        # what several documents hold is a passage as a whole, if it is long enough
         width = self.around.shape[1]
         self.first, self.last = self.there.argmax(axis=1), width - self.there[:, ::-1].argmax(axis=1)
+        alone = (self.who >= 0) | (self.last - self.first < TOKENS)
         self.start, self.stop = np.where(alone, width, self.first), np.where(alone, 0, self.last)
         self.label = np.arange(len(self.who))
 
@@ -258,14 +292,20 @@ class Rows:
             k = later[i : i + 4096]
             full = (self.start <= self.first) & (self.stop >= self.last)
             k = k[~(full[left[k]] & full[right[k]] & (self.label[left[k]] == self.label[right[k]]))]
-            k = k[_may_shift(self.around[right[k]], self.there[right[k]], self.around[left[k]])] if len(k) else k
-            for pair, x, y in zip(k.tolist(), left[k].tolist(), right[k].tolist(), strict=True):
-                if found := _shifted(self.around[x], self.there[x], self.around[y], self.there[y]):
-                    self.start[x], self.stop[x] = min(self.start[x], found[0]), max(self.stop[x], found[1])
-                    self.start[y], self.stop[y] = min(self.start[y], found[2]), max(self.stop[y], found[3])
-                    more.append(pair)
+            if not len(k):
+                continue
+            x, y = left[k], right[k]
+            hit, s, e = _shifted(self.around[x], self.there[x], self.around[y])
+            k, x, y, s, e = k[hit], x[hit], y[hit], s[hit], e[hit]
+            if len(k):
+                back, s2, e2 = _shifted(self.around[y], self.there[y], self.around[x])
+                for side, a, b in ((x[back], s[back], e[back]), (y[back], s2[back], e2[back])):
+                    np.minimum.at(self.start, side, a)
+                    np.maximum.at(self.stop, side, b)
+                more.append(k[back])
         if more:
-            self.label = _labels(len(self.who), left[more], right[more], self.label)
+            joined = np.concatenate(more)
+            self.label = _labels(len(self.who), left[joined], right[joined], self.label)
 
 
 def _tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -289,17 +329,18 @@ def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     value = table.column("value").combine_chunks().to_numpy()
     ids = table.column("doc_id").combine_chunks().to_numpy()
     place = table.column("place").combine_chunks().to_numpy().astype(np.int64)
-    around, there = _tokens_of(table)
-    key = splitmix((around * (stream(52, around.shape[1]) | U(1))).sum(axis=1, dtype=np.uint64) + U(128) * there.argmax(axis=1).astype(np.uint64) + there.sum(axis=1).astype(np.uint64))
-    order = np.lexsort((key, value))
+    key = table.column("key").combine_chunks().to_numpy()
+    # of equal windows one that brings its tokens comes first
+    order = np.lexsort((table.column("around").combine_chunks().is_null().to_numpy(zero_copy_only=False), key, value))
     new = np.append(True, (key[order][1:] != key[order][:-1]) | (value[order][1:] != value[order][:-1]))
     mine = np.empty(len(ids), np.int64)
     mine[order] = np.cumsum(new) - 1
     one = order[new]
+    around, there = _tokens_of(table.select(["around", "from_", "to_"]).take(pa.array(one)))
     least, most = ids[one].copy(), ids[one].copy()
     np.minimum.at(least, mine, ids)
     np.maximum.at(most, mine, ids)
-    rows = Rows(around[one], there[one], np.where(least < most, -1 - np.arange(len(one)), _numbered(least)))
+    rows = Rows(around, there, np.where(least < most, -1 - np.arange(len(one)), _numbered(least)))
     cut = np.flatnonzero(np.diff(value[one], prepend=~value[one[0]], append=~value[one[-1]]))
     rows.compare(*_every_pair(np.repeat(cut[1:], np.diff(cut))))
     np.minimum.at(least, rows.label, least)
@@ -335,9 +376,9 @@ def _block_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _in_blocks(large: DataFrame) -> DataFrame:
     """Spans of windows in large groups: distinct windows in blocks, each block with every other one of its group."""
-    own = F.xxhash64("value", "around", "from_", "to_").alias("id")
-    body = ["value", "around", "from_", "to_"]
-    reps = written(large.groupBy(own, *body).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "reps")
+    own = F.xxhash64("value", "key").alias("id")
+    body = [F.first(c, ignorenulls=True).alias(c) for c in ("around", "from_", "to_")]
+    reps = written(large.groupBy("value", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *body).withColumn("id", own), "reps")
     blocks = small_side(written(reps.groupBy("value").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks"))
     dealt = reps.join(blocks, "value").withColumn("block", F.pmod("id", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("value", F.least("block", "other"), F.greatest("block", "other")).alias("pair")
