@@ -169,7 +169,7 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
         if large.isEmpty():
             break
         seen = large.select("node", "doc_id").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-        first = seen.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("f")).select("node", F.col("f.doc_id").alias("first"), F.col("f.n_shingles").alias("first_n"), F.col("f.sketch").alias("first_sketch"))
+        first = large.groupBy("node").agg(F.min("doc_id").alias("first")).join(reps.select(F.col("doc_id").alias("first"), F.col("n_shingles").alias("first_n"), F.col("sketch").alias("first_sketch")), "first")
         first = small_side(written(first, "first"), 50_000)
         alike = written(seen.join(first, "node").mapInArrow(lean(_passes_first(threshold)), "node long, doc_id long, first long, alike boolean"), "alike", rows)
         direct.append(alike.where("alike and doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
