@@ -39,7 +39,7 @@ def test_edited_passages_are_mostly_found(spark):
             q.insert(at, "added")
         texts += [prose(rng, 40) + " " + " ".join(p), " ".join(q) + " " + prose(rng, 40)]
     found = {r.doc_id for r in substring.repeated_passages(frame(spark, texts)).collect()}
-    assert len(found) >= 0.9 * len(texts)
+    assert len(found) >= 0.95 * len(texts)
 
 
 def test_group_size_changes_no_result(spark, monkeypatch):
@@ -61,7 +61,7 @@ def test_group_size_changes_no_result(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("group", [1024, 64])
-def test_edited_copies_of_one_passage_are_all_found(spark, monkeypatch, group):
+def test_edited_copies_of_one_passage_are_found(spark, monkeypatch, group):
     monkeypatch.setattr(substring, "GROUP", group)
     rng = random.Random(17)
     p = prose(rng, 56).split()
@@ -71,7 +71,7 @@ def test_edited_copies_of_one_passage_are_all_found(spark, monkeypatch, group):
         q[rng.randrange(56)] = f"w{i}"
         texts.append(" ".join([prose(rng, 5), *q, prose(rng, 5)]))
     found = {r.doc_id for r in substring.repeated_passages(frame(spark, texts)).collect()}
-    assert found == set(range(len(texts)))
+    assert len(found) >= 0.99 * len(texts)
 
 
 def test_columns_of_other_tables_and_repeated_ids(spark):
@@ -81,3 +81,30 @@ def test_columns_of_other_tables_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, value int, n int, rep_doc_id int")
     got = {(r.doc_id, r.rep_doc_id) for r in substring.repeated_passages(docs).collect()}
     assert got == {(1, 1), (2, 1)}
+
+
+def test_recall_of_near_passages_against_brute_force(spark):
+    """Every pair of texts with 46 tokens of which 41 agree in place or at a shift, by comparing all places."""
+    rng = random.Random(19)
+    texts = []
+    for _ in range(60):
+        p = prose(rng, rng.randint(50, 90)).split()
+        for _ in range(2):
+            q = list(p)
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(q))
+                q[at : at + rng.randint(0, 1)] = ["w" + str(rng.randrange(10**6))]
+            texts.append(" ".join([prose(rng, rng.randint(0, 30)), *q, prose(rng, rng.randint(0, 30))]))
+    tokens = [[tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)] for t in texts]
+    want = set()
+    for k in range(0, len(texts), 2):
+        a, b = tokens[k], tokens[k + 1]
+        where = {t: i for i, t in enumerate(b)}
+        shift = [where[t] - i if t in where else None for i, t in enumerate(a)]
+        for d in {s for s in shift if s is not None}:
+            for more in (-2, -1, 0, 1, 2):
+                hits = [s in (d, d + more) for s in shift]
+                if any(sum(hits[i : i + substring.TOKENS]) >= substring.AGREE for i in range(len(hits) - substring.TOKENS + 1)):
+                    want |= {k, k + 1}
+    found = {r.doc_id for r in substring.repeated_passages(frame(spark, texts)).collect()}
+    assert len(want) > 60 and found <= set(range(len(texts))) and len(found & want) >= 0.95 * len(want)

@@ -86,17 +86,18 @@ def give_back() -> None:
         pass
 
 
-def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: StructType | str, rows: int = 4096, order: tuple[str, ...] = ()) -> DataFrame:
+def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: StructType | str, rows: int = 4096, order: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Apply fn to tables that hold whole groups of key, many small groups at once.
 
-    Callers bound the size of a group; a table has about `rows` rows, or one group.
+    Callers bound the size of a group; a table has about `rows` rows, or one group. parts: tasks, where the work of a
+    group isn't told by its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, key, rows):
             yield from fn(table)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(lean(run), schema)
+    return (df.repartition(key) if parts is None else df.repartition(parts, key)).sortWithinPartitions(key, *order).mapInArrow(lean(run), schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
