@@ -14,8 +14,8 @@ from tidemark.functions import text as T
 
 #: Words that a negator reaches ahead, words that end its reach, characters that end a sentence (fixed values).
 REACH = 5
-NEGATORS = frozenset("not no never neither nor none cannot without".split())
-STOPS = frozenset("but however although though".split())
+NEGATORS = frozenset("not no never neither without unlikely".split())
+STOPS = frozenset("but however although though yet".split())
 _SENTENCE = re.compile(r"[.!?]+")
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*['’]?")
 
@@ -83,10 +83,30 @@ def signals(passages: DataFrame, key: str, text: str, terms: list[tuple[str, str
     return passages.select(key, text).mapInPandas(run, f"{key} {kind}, category string, hits long, negated long")
 
 
+#: Words of a lexicon up to which it goes to the tasks as one map; a larger one is joined.
+IN_ROW = 10_000
+
+
 def word_hits(passages: DataFrame, key: str, tokens: str, lexicon: DataFrame) -> DataFrame:
-    """(key, category, hits) for single words, as an equi-join with a broadcast lexicon (term, category)."""
-    words = passages.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    return words.join(F.broadcast(lexicon), "term").groupBy(key, "category").agg(F.sum("n").alias("hits"))
+    """(key, category, hits) for single words of a lexicon (term, category).
+
+    A lexicon of up to IN_ROW words filters the tokens where they are, so only hits are exploded; a larger one meets the
+    words of each passage in an equi-join. A word in several categories counts in each.
+    """
+    few = lexicon.select("term", "category").distinct().limit(IN_ROW + 1).collect()
+    if len(few) > IN_ROW:
+        words = passages.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+        return words.join(lexicon.distinct(), "term").groupBy(key, "category").agg(F.sum("n").alias("hits"))
+    by: dict[str, list[str]] = {}
+    for term, category in few:
+        by.setdefault(term, []).append(category)
+    if not by:
+        return passages.select(key, F.lit("").alias("category"), F.lit(0).cast("long").alias("hits")).limit(0)
+    known = F.array(*[F.lit(w) for w in by])
+    categories = F.array(*[F.array(*[F.lit(c) for c in sorted(cs)]) for cs in by.values()])
+    place = F.transform(F.filter(tokens, lambda w: w.isin(*by)), lambda w: F.array_position(known, w).cast("int"))
+    hits = passages.select(key, F.explode(place).alias("p"))
+    return hits.select(key, F.explode(F.element_at(categories, F.col("p"))).alias("category")).groupBy(key, "category").agg(F.count("*").alias("hits"))
 
 
 def rates(hits: DataFrame, words: DataFrame, key: str) -> DataFrame:

@@ -13,10 +13,30 @@ from tidemark.functions import text as T
 from tidemark.operators.features import LOW_WORDS
 
 # Words that carry no concept.
-STOP_WORDS = tuple("the and for are was were with that this from have has had how what which when where why who did does not its their there into over about between than then them they you your our can could would should".split())
-# Words that mark a direction, a status or a side.
-DIRECTIONS = {"INCREASE": r"\b(increas\w*|rise|rose|grew|growth|higher|more)\b", "DECREASE": r"\b(decreas\w*|declin\w*|fell|lower|less|reduc\w*)\b"}
-STATUSES = {"NEW": r"\b(new|introduced|added|first time)\b", "REMOVED": r"\b(removed|dropped|no longer|deleted)\b", "CHANGED": r"\b(chang\w*|differ\w*|compared?|versus|vs)\b"}
+STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "for", "is", "are", "was", "were", "did", "does", "what", "how", "why", "who", "which", "with", "about", "that", "this", "these", "those", "it", "its", "as", "at",
+    "by", "from", "be", "has", "have", "had", "will", "would", "could", "should", "than", "then", "there", "their",
+)
+# Patterns of directions, of alignment statuses, of sides and of kinds of questions; the first that fits decides a direction or kind.
+DIRECTIONS = {
+    "increased": r"\b(increased?|rose|grew|higher|rising|up from|growth in)\b",
+    "decreased": r"\b(decreased?|fell|declined?|lower|falling|down from|reduction in)\b",
+    "added": r"\b(added|newly introduced|introduced for the first time)\b",
+    "removed": r"\b(removed|dropped|discontinued|eliminated|no longer)\b",
+    "changed": r"\b(changed|modified|updated|revised)\b",
+}
+STATUSES = {
+    "NEW": r"\bnewly (introduced|disclosed|added)\b|\bnew disclosure\b",
+    "REMOVED": r"\bno longer (disclosed|reported|mentioned)\b|\bremoved disclosure\b",
+    "UNCHANGED": r"\bunchanged\b|\bstayed the same\b",
+    "LIGHTLY_MODIFIED": r"\bslightly (modified|changed|updated)\b",
+    "SUBSTANTIALLY_MODIFIED": r"\b(substantially|materially|significantly) (modified|changed|revised)\b",
+    "AMBIGUOUS": r"\bambiguous\b|\bunclear (change|status)\b",
+}
+SIDES = {"EARLIER": r"\b(earlier|prior|previous|last year'?s?|preceding)\b", "LATER": r"\b(later|latest|current|most recent|this year'?s?|new(est)? report)\b"}
+CAUSAL, QUANTITY = r"\bwhy\b|\bwhat (caused|led to|is the reason)\b|\breason for\b", r"\bhow much\b|\bhow many\b|\bwhat (percentage|amount|proportion)\b"
+COMPARING, EXISTENCE = r"\bcompar(e|ison|ed)\b|\bversus\b|\bvs\.?\b|\bdifference between\b", r"\bdoes\b|\bdid\b|\bis there\b|\bwas there\b|\bhas the company\b|\bhave they\b"
+TIME = r"\bover time\b|\btrend\b|\bhistory\b|\btimeline\b"
 #: Least share of required concepts, least and most pieces of evidence (fixed values).
 COVERAGE, ENOUGH, MOST = 0.5, 1, 3
 
@@ -29,20 +49,30 @@ def first_match(question: Column, patterns: dict[str, str]) -> Column:
     return out
 
 
+def all_matches(question: Column, patterns: dict[str, str]) -> Column:
+    """The names whose pattern occurs, in order."""
+    return F.array_compact(F.array(*[F.when(F.lower(question).rlike(pattern), F.lit(name)) for name, pattern in patterns.items()]))
+
+
 def analysed(questions: DataFrame, text: str, tickers: Sequence[str] = ()) -> DataFrame:
-    """questions with tickers, date range, direction, status, concepts and whether two periods are compared."""
+    """questions with tickers, years, date range, direction, statuses, sides, kind, scope and concepts."""
     q = F.col(text)
     years = F.array_distinct(F.regexp_extract_all(q, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)))
     low, high = N.year_range(q)
-    named = F.array_compact(F.array(*[F.when(F.upper(q).rlike(rf"\b{t}\b"), F.lit(t)) for t in tickers], F.lit(None).cast("string")))
+    named = F.array_compact(F.array(*[F.when(q.rlike(rf"\b{t}\b"), F.lit(t)) for t in tickers], F.lit(None).cast("string")))
     out = questions.withColumn("tickers", named).withColumn("years", years).withColumn("from_date", low).withColumn("to_date", high)
-    out = out.withColumn("direction", first_match(q, DIRECTIONS)).withColumn("status", first_match(q, STATUSES)).withColumn("concepts", T.concept_terms(q, STOP_WORDS))
-    return out.withColumn("compares", (F.size("years") >= 2) | (F.col("status") == "CHANGED"))
+    out = out.withColumn("direction", first_match(q, DIRECTIONS)).withColumn("statuses", all_matches(q, STATUSES)).withColumn("sides", all_matches(q, SIDES)).withColumn("concepts", T.concept_terms(q, STOP_WORDS))
+    has, several = (lambda pattern: F.lower(q).rlike(pattern)), F.size("years") > 1
+    directed = F.col("direction").isNotNull()
+    kind = F.when(has(CAUSAL), F.lit("causal")).when(has(QUANTITY), F.lit("quantitative")).when(directed | has(COMPARING), F.lit("comparative")).when(has(EXISTENCE), F.lit("existence_based"))
+    scope = F.when(F.size("tickers") != 1, F.lit("corpus_wide")).when(directed | several, F.lit("single_comparison")).otherwise(F.lit("single_company"))
+    return out.withColumn("kind", kind.when(several | has(TIME), F.lit("chronological")).otherwise(F.lit("descriptive"))).withColumn("scope", scope)
 
 
 def routed(question: DataFrame) -> Column:
-    """COMPARISON for changes of named companies, DOCUMENT for one company, CORPUS otherwise."""
-    return F.when((F.size("tickers") >= 1) & F.coalesce("compares", F.lit(False)), F.lit("COMPARISON")).when(F.size("tickers") == 1, F.lit("DOCUMENT")).otherwise(F.lit("CORPUS"))
+    """COMPARISON where anything of the question asks for change, CORPUS without one company, else DOCUMENT."""
+    change = F.col("kind").isin("comparative", "chronological") | (F.col("scope") == "single_comparison") | F.col("direction").isNotNull() | (F.size("statuses") > 0)
+    return F.when(change, F.lit("COMPARISON")).when(F.col("scope") == "corpus_wide", F.lit("CORPUS")).otherwise(F.lit("DOCUMENT"))
 
 
 def concept_coverage(body: Column, heading: Column, concepts: Column) -> Column:

@@ -17,17 +17,17 @@ from .relational_queries import t
 from .text_queries import TOKENS_SQL
 
 LINES_SQL = "lines AS (SELECT doc_id, i::BIGINT AS i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
-TYPE_SQL = r"""CASE WHEN length(trim(line)) = 0 THEN 'EMPTY' WHEN regexp_matches(trim(line), '^(?:[Pp]age\s+)?[0-9]{1,4}$') THEN 'PAGE_NUMBER' WHEN regexp_matches(trim(line), '^(?:https?://|www\.)\S+$') OR le + di = 0 THEN 'DECORATIVE'
-  WHEN regexp_matches(trim(line), '^\p{L}$') THEN 'DECORATIVE' WHEN di >= 0.30 AND nu >= 3 THEN 'TABLE_LIKE' WHEN di >= 0.25 AND le <= 0.15 THEN 'TABLE_LIKE' WHEN le = 0 AND di > 0 THEN 'NUMERIC_FRAGMENT'
-  WHEN regexp_matches(trim(line), '^(?:[•\-–*]|\(?[0-9a-z]{1,3}[.)])\s+') THEN 'LIST_ITEM' WHEN wo <= 12 AND NOT regexp_matches(trim(line), '[.;:,]$') THEN 'HEADING' ELSE 'PARAGRAPH' END"""
-BLOCKS_SQL = rf"""{LINES_SQL}, m AS (SELECT *, CASE WHEN length(line) = 0 THEN 0.0 ELSE length(regexp_replace(line, '[^\p{{Nd}}]', '', 'g')) / length(line) END AS di, CASE WHEN length(line) = 0 THEN 0.0 ELSE length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) / length(line) END AS le,
-  len(regexp_extract_all(line, '[0-9]+(?:[.,][0-9]+)*')) AS nu, len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')) AS wo FROM lines), blocks AS (SELECT doc_id, i, line, {TYPE_SQL} AS block_type FROM m)"""
+TYPE_SQL = r"""CASE WHEN length(li) = 0 THEN 'EMPTY' WHEN wo <= 6 AND (regexp_matches(li, '(?i)^(?:page\s+)?[0-9]{1,4}(?:\s*(?:of|/)\s*[0-9]{1,4})?$') OR length(li) <= 5 AND regexp_matches(li, '(?i)^m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$')) THEN 'PAGE_NUMBER'
+  WHEN wo <= 3 AND (regexp_matches(li, '(?i)^(?:https?://|www\.)\S+$') OR le < 0.3 AND di < 0.3) THEN 'DECORATIVE' WHEN regexp_matches(li, '^\p{L}$') THEN 'DECORATIVE' WHEN di >= 0.30 AND nu >= 3 THEN 'TABLE_LIKE' WHEN di >= 0.5 AND wo <= 8 THEN 'NUMERIC_FRAGMENT'
+  WHEN regexp_matches(li, '^\s*(?:[-•●▪*]|[0-9]+[.)])\s+') THEN 'LIST_ITEM' WHEN wo <= 12 AND NOT regexp_matches(li, '[.!?]\s*$') AND (regexp_matches(li, '\p{Lu}') AND NOT regexp_matches(li, '\p{Ll}') OR NOT regexp_matches(li, '[.;:,|]\s*$')) THEN 'HEADING' ELSE 'PARAGRAPH' END"""
+BLOCKS_SQL = rf"""{LINES_SQL}, m AS (SELECT *, CASE WHEN length(li) = 0 THEN 0.0 ELSE length(regexp_replace(li, '[^\p{{Nd}}]', '', 'g')) / length(li) END AS di, CASE WHEN length(li) = 0 THEN 0.0 ELSE length(regexp_replace(li, '[^\p{{L}}]', '', 'g')) / length(li) END AS le,
+  len(list_filter(string_split_regex(li, '\s+'), lambda w: regexp_matches(w, '\p{{Nd}}'))) AS nu, len(list_filter(string_split_regex(li, '\s+'), lambda w: w <> '')) AS wo FROM (SELECT *, trim(line) AS li FROM lines)), blocks AS (SELECT doc_id, i, line, {TYPE_SQL} AS block_type FROM m)"""
 
 
 def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as blocks."""
+    """Lines of documents as blocks; texts have no fonts, so a line without punctuation at its end stands for a bold one."""
     lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text"))
-    return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), "text", P.block_type(F.col("text")).alias("block_type"))
+    return lines.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), "text", P.block_type(F.col("text"), bold=~F.trim("text").rlike(r"[.;:,|]\s*$")).alias("block_type"))
 
 
 @query("block_types", f"WITH {BLOCKS_SQL} SELECT block_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs, sum(length(line))::BIGINT AS chars FROM blocks GROUP BY 1")
@@ -148,13 +148,13 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "term_coverage",
-    rf"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_filter({TOKENS_SQL}, lambda w: length(w) >= 8)))[1:3] AS terms FROM benchmark), tk AS (SELECT doc_id, list_distinct({TOKENS_SQL}) AS tk FROM documents),
+    rf"""WITH q AS (SELECT item_id, list_sort(list_distinct(list_filter({TOKENS_SQL}, lambda w: length(w) >= 8))) AS terms FROM benchmark), tk AS (SELECT doc_id, list_distinct({TOKENS_SQL}) AS tk FROM documents),
     e AS (SELECT item_id, unnest(terms) AS term, len(terms) AS n FROM q), d AS (SELECT doc_id, unnest(tk) AS term FROM tk)
     SELECT item_id, doc_id, round(count(*) / any_value(n), 6) AS coverage FROM e JOIN d USING (term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) <= 5""",
 )
 def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold most of each item's long terms, by an equi-join on terms."""
-    q = t(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_sort(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 8))), 1, 3).alias("terms"))
+    q = t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 8)).alias("terms"))
     return S.covering(q, "item_id", "terms", t(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("tk")), "doc_id", "tk", 5).select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"))
 
 

@@ -10,24 +10,32 @@ from tidemark.operators import questions as Q
 from .registry import query
 from .relational_queries import t
 
-STOPS_SQL = "[" + ", ".join(f"'{w}'" for w in Q.STOP_WORDS) + "]"
+STOPS_SQL = "string_split('the a an and or but of to in on for is are was were did does what how why who which with about that this these those it its as at by from be has have had will would could should than then there their', ' ')"
 
 
 @query(
     "question_analysis",
-    rf"""WITH q AS (SELECT conv_id, turn, 'How did THE risk ' || CASE conv_id % 4 WHEN 0 THEN 'increase from 2019 to 2021' WHEN 1 THEN 'that was removed change' WHEN 2 THEN 'fall in 2020' ELSE 'look' END || '? ' || text[1:40] AS q FROM conversations WHERE role = 'user'),
-    a AS (SELECT *, list_distinct(regexp_extract_all(q, '\b((?:19|20)\d{{2}})\b', 1)) AS years, regexp_matches(upper(q), '\bTHE\b') AS named, CASE WHEN regexp_matches(lower(q), '\b(increas\w*|rise|rose|grew|growth|higher|more)\b') THEN 'INCREASE' WHEN regexp_matches(lower(q), '\b(decreas\w*|declin\w*|fell|lower|less|reduc\w*)\b') THEN 'DECREASE' END AS direction,
-      CASE WHEN regexp_matches(lower(q), '\b(new|introduced|added|first time)\b') THEN 'NEW' WHEN regexp_matches(lower(q), '\b(removed|dropped|no longer|deleted)\b') THEN 'REMOVED' WHEN regexp_matches(lower(q), '\b(chang\w*|differ\w*|compared?|versus|vs)\b') THEN 'CHANGED' END AS status FROM q)
-    SELECT conv_id, turn, direction, status, len(years)::BIGINT AS n_years, CASE WHEN len(years) > 0 THEN strftime(make_date(list_min(list_transform(years, lambda y: y::INT)), 1, 1), '%Y-%m-%d') END AS from_date,
-      CASE WHEN named AND (len(years) >= 2 OR coalesce(status = 'CHANGED', false)) THEN 'COMPARISON' WHEN named THEN 'DOCUMENT' ELSE 'CORPUS' END AS route,
-      len(list_filter(list_distinct(list_filter(string_split_regex(lower(q), '[^a-z0-9]+'), lambda w: length(w) >= 3)), lambda w: NOT list_contains({STOPS_SQL}, w)))::BIGINT AS n_concepts FROM a""",
+    rf"""WITH q AS (SELECT conv_id, turn, 'How did THE risk ' || CASE conv_id % 6 WHEN 0 THEN 'rising from 2019 to 2021' WHEN 1 THEN 'that was removed matter' WHEN 2 THEN 'stand in 2020 in the prior year''s report' WHEN 3 THEN 'no longer disclosed and slightly updated compare' WHEN 4 THEN 'history' ELSE 'look' END || '? ' || coalesce(text, '') AS q FROM conversations WHERE role = 'user'),
+    l AS (SELECT *, lower(q) AS lo, list_distinct(regexp_extract_all(q, '\b((?:19|20)\d{{2}})\b', 1)) AS years, regexp_matches(q, '\bTHE\b') AS named FROM q),
+    d AS (SELECT *, CASE WHEN regexp_matches(lo, '\b(increased?|rose|grew|higher|rising|up from|growth in)\b') THEN 'increased' WHEN regexp_matches(lo, '\b(decreased?|fell|declined?|lower|falling|down from|reduction in)\b') THEN 'decreased' WHEN regexp_matches(lo, '\b(added|newly introduced|introduced for the first time)\b') THEN 'added'
+        WHEN regexp_matches(lo, '\b(removed|dropped|discontinued|eliminated|no longer)\b') THEN 'removed' WHEN regexp_matches(lo, '\b(changed|modified|updated|revised)\b') THEN 'changed' END AS direction,
+      concat_ws(',', CASE WHEN regexp_matches(lo, '\bnewly (introduced|disclosed|added)\b|\bnew disclosure\b') THEN 'NEW' END, CASE WHEN regexp_matches(lo, '\bno longer (disclosed|reported|mentioned)\b|\bremoved disclosure\b') THEN 'REMOVED' END, CASE WHEN regexp_matches(lo, '\bunchanged\b|\bstayed the same\b') THEN 'UNCHANGED' END,
+        CASE WHEN regexp_matches(lo, '\bslightly (modified|changed|updated)\b') THEN 'LIGHTLY_MODIFIED' END, CASE WHEN regexp_matches(lo, '\b(substantially|materially|significantly) (modified|changed|revised)\b') THEN 'SUBSTANTIALLY_MODIFIED' END, CASE WHEN regexp_matches(lo, '\bambiguous\b|\bunclear (change|status)\b') THEN 'AMBIGUOUS' END) AS statuses,
+      concat_ws(',', CASE WHEN regexp_matches(lo, '\b(earlier|prior|previous|last year''?s?|preceding)\b') THEN 'EARLIER' END, CASE WHEN regexp_matches(lo, '\b(later|latest|current|most recent|this year''?s?|new(est)? report)\b') THEN 'LATER' END) AS sides FROM l),
+    k AS (SELECT *, CASE WHEN regexp_matches(lo, '\bwhy\b|\bwhat (caused|led to|is the reason)\b|\breason for\b') THEN 'causal' WHEN regexp_matches(lo, '\bhow much\b|\bhow many\b|\bwhat (percentage|amount|proportion)\b') THEN 'quantitative' WHEN direction IS NOT NULL OR regexp_matches(lo, '\bcompar(e|ison|ed)\b|\bversus\b|\bvs\.?\b|\bdifference between\b') THEN 'comparative'
+        WHEN regexp_matches(lo, '\bdoes\b|\bdid\b|\bis there\b|\bwas there\b|\bhas the company\b|\bhave they\b') THEN 'existence_based' WHEN len(years) > 1 OR regexp_matches(lo, '\bover time\b|\btrend\b|\bhistory\b|\btimeline\b') THEN 'chronological' ELSE 'descriptive' END AS kind,
+      CASE WHEN NOT named THEN 'corpus_wide' WHEN direction IS NOT NULL OR len(years) > 1 THEN 'single_comparison' ELSE 'single_company' END AS scope FROM d)
+    SELECT conv_id, turn, direction, statuses, sides, kind, scope, len(years)::BIGINT AS n_years, CASE WHEN len(years) > 0 THEN strftime(make_date(list_min(list_transform(years, lambda y: y::INT)), 1, 1), '%Y-%m-%d') END AS from_date,
+      CASE WHEN kind IN ('comparative', 'chronological') OR scope = 'single_comparison' OR direction IS NOT NULL OR statuses <> '' THEN 'COMPARISON' WHEN scope = 'corpus_wide' THEN 'CORPUS' ELSE 'DOCUMENT' END AS route,
+      len(list_filter(list_distinct(list_filter(string_split_regex(lo, '[^a-z0-9]+'), lambda w: length(w) >= 3)), lambda w: NOT list_contains({STOPS_SQL}, w)))::BIGINT AS n_concepts FROM k""",
 )
 def question_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("conv_id") % 4
-    part = F.when(k == 0, F.lit("increase from 2019 to 2021")).when(k == 1, F.lit("that was removed change")).when(k == 2, F.lit("fall in 2020")).otherwise(F.lit("look"))
-    q = t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("How did THE risk "), part, F.lit("? "), F.substring("text", 1, 40)).alias("q"))
+    """Every user turn as a question, read whole."""
+    endings = ["rising from 2019 to 2021", "that was removed matter", "stand in 2020 in the prior year's report", "no longer disclosed and slightly updated compare", "history", "look"]
+    part = F.get(F.array(*[F.lit(x) for x in endings]), (F.col("conv_id") % 6).cast("int"))
+    q = t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("How did THE risk "), part, F.lit("? "), F.coalesce("text", F.lit(""))).alias("q"))
     a = Q.analysed(q, "q", ["THE"])
-    return a.select("conv_id", "turn", "direction", "status", F.size("years").cast("long").alias("n_years"), F.date_format("from_date", "yyyy-MM-dd").alias("from_date"), Q.routed(a).alias("route"), F.size("concepts").cast("long").alias("n_concepts"))
+    return a.select("conv_id", "turn", "direction", F.array_join("statuses", ",").alias("statuses"), F.array_join("sides", ",").alias("sides"), "kind", "scope", F.size("years").cast("long").alias("n_years"), F.date_format("from_date", "yyyy-MM-dd").alias("from_date"), Q.routed(a).alias("route"), F.size("concepts").cast("long").alias("n_concepts"))
 
 
 @query(

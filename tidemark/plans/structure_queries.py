@@ -19,12 +19,12 @@ from .relational_queries import t
 
 @query(
     "fiscal_evidence",
-    r"""WITH p AS (SELECT o_custkey AS doc, o_orderkey AS page, 'Report for the year ended ' || day(o_orderdate) || ' ' || strftime(o_orderdate, '%B') || ' ' || year(o_orderdate) || CASE WHEN o_orderkey % 7 = 0 THEN ' and 15 months ended' ELSE '' END AS x FROM orders WHERE o_orderkey % 5 < 2)
+    r"""WITH p AS (SELECT o_custkey AS doc, o_orderkey AS page, 'Report for the year ended ' || day(o_orderdate) || ' ' || strftime(o_orderdate, '%B') || ' ' || year(o_orderdate) || CASE WHEN o_orderkey % 7 = 0 THEN ' and 15 months ended' ELSE '' END AS x FROM orders)
     SELECT doc, strftime(arg_min(d, page), '%Y-%m-%d') AS proposed, CASE count(DISTINCT d) WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, max(m)::BIGINT AS months FROM (
       SELECT doc, page, strptime(regexp_extract(x, 'ended (\d+ [A-Za-z]+ \d+)', 1), '%d %B %Y')::DATE AS d, CASE WHEN contains(x, '15 months ended') THEN 15 END AS m FROM p) GROUP BY doc""",
 )
 def fiscal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = t(spark, sf_dir, "orders").where("o_orderkey % 5 < 2")
+    o = t(spark, sf_dir, "orders")
     x = F.concat(F.lit("Report for the year ended "), F.date_format("o_orderdate", "d MMMM yyyy"), F.when(F.col("o_orderkey") % 7 == 0, F.lit(" and 15 months ended")).otherwise(F.lit("")))
     e = S.fiscal_evidence(o.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), x.alias("x")), "doc", "page", "x")
     return e.select("doc", F.date_format("proposed", "yyyy-MM-dd").alias("proposed"), "confidence", F.col("months").cast("long").alias("months"))
