@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import numbers as N
-
 #: Candidates of a passage, similarity that one needs, score that a match needs, sweeps of exchanges (fixed values).
 NEAREST, FLOOR, ACCEPT, SWEEPS = 5, 0.50, 0.45, 3
 #: Scores that hint at a split near and far, and how near is near (fixed values).
 SPLIT_NEAR, SPLIT_FAR, NEAR = 0.35, 0.65, 3
 
 
+#: Passages of a block of either side.
+BLOCK = 2048
+
+
 def candidates(earlier: DataFrame, later: DataFrame, key: str, k: int = NEAREST, floor: float = FLOOR) -> DataFrame:
     """The k nearest earlier passages of each later one within the same key; the floor applies after the cut.
 
-    Both sides have key, idx and vec. The join is on the key: the passages of one pair of texts meet, nothing else.
+    Both sides have key, idx and vec. The passages of a key are dealt to blocks, each block of one side meets each of the
+    other as matrices, and only the k best of a block go on, so neither a hot key nor its pairs gather in one task.
+    Vectors without direction, null ones and those of another dimension are no candidates.
     """
-    e = earlier.select(key, F.col("idx").alias("e_idx"), F.col("vec").alias("e_vec"), N.norm(F.col("vec")).alias("e_norm"))
-    w = later.select(key, F.col("idx").alias("l_idx"), F.col("vec").alias("l_vec"), N.norm(F.col("vec")).alias("l_norm"))
-    pairs = w.join(e, key).select(key, "l_idx", "e_idx", (N.ratio(N.dot(F.col("l_vec"), F.col("e_vec")), F.col("l_norm") * F.col("e_norm"))).alias("similarity"))
+    sizes = [df.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c)) for df, c in ((earlier, "_eb"), (later, "_lb"))]
+    plan = sizes[0].join(sizes[1], key)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.select(key, F.col("idx").cast("long").alias("idx"), "vec").where("vec is not null").join(plan, key)
+        return df.withColumn("_own", F.pmod(F.xxhash64("idx"), F.col(own)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(key, "idx", "vec", "_own", "_other")
+
+    e = dealt(earlier, "_eb", "_lb").select(key, "idx", "vec", F.col("_own").alias("_e"), F.col("_other").alias("_l"), F.lit(True).alias("_earlier"))
+    w = dealt(later, "_lb", "_eb").select(key, "idx", "vec", F.col("_other").alias("_e"), F.col("_own").alias("_l"), F.lit(False).alias("_earlier"))
+    kind = later.schema[key].dataType.simpleString()
+
+    def nearest(both: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, some in both.groupby(both["vec"].map(len)):
+            x, y = some[some["_earlier"]], some[~some["_earlier"]]
+            if not len(x) or not len(y):
+                continue
+            m, v = (np.array(list(f["vec"]), np.float64) for f in (x, y))
+            ids = x["idx"].to_numpy()
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = (v @ m.T) / (np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((m * m).sum(axis=1))[None, :])
+            for own, row in zip(y["idx"], score, strict=True):
+                known = np.flatnonzero(np.isfinite(row))
+                best = known[np.lexsort((ids[known], -np.round(row[known], 9)))[:k]]
+                parts.append(pd.DataFrame({key: y[key].iloc[0], "l_idx": own, "e_idx": ids[best], "similarity": row[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[key, "l_idx", "e_idx", "similarity"])
+
+    found = e.unionByName(w).groupBy(key, "_e", "_l").applyInPandas(nearest, f"{key} {kind}, l_idx long, e_idx long, similarity double")
     rank = F.row_number().over(Window.partitionBy(key, "l_idx").orderBy(F.desc(F.round("similarity", 9)), "e_idx"))
-    return pairs.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k).where(F.col("similarity") >= floor)
+    return found.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k).where(F.col("similarity") >= floor)
 
 
 def exchanged(match: dict[int, int], score: dict[tuple[int, int], float]) -> dict[int, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +44,13 @@ def occurrences(tokens: Column, term: str) -> Column:
 
 
 def keyword_search(docs: DataFrame, key: str, text: str, query: Parsed, most: int) -> DataFrame:
-    """(key, score, rank) of the documents that match, best first; the score is damped by the document's length."""
-    tk = docs.select(key, T.tokens(F.col(text)).alias("tk"))
+    """(key, score, rank) of the documents that match, best first; the score is damped by the document's length.
+
+    A text without the characters of the words that must occur isn't tokenised.
+    """
+    low = F.lower(text)
+    may = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [low.contains(w) for x in g for w in x.split()], F.lit(True)) for g in query.groups], F.lit(False))
+    tk = docs.where(may).select(key, T.tokens(F.col(text)).alias("tk"))
     names = {t: f"_t{i}" for i, t in enumerate(dict.fromkeys([x for g in query.groups for x in g] + list(query.without)))}
     counted = tk.select(key, F.size("tk").alias("n"), *[occurrences(F.col("tk"), t).alias(c) for t, c in names.items()])
     group = F.lit(False)

@@ -29,14 +29,14 @@ jaccards AS (SELECT k, CASE WHEN len(a) + len(b) = 0 THEN NULL ELSE len(list_int
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "text")
     t = F.col("text")
-    d = d.select("source", "doc_id", T.tokens(t).alias("tk"), T.word_count(t).alias("words"), F.length(t).cast("long").alias("chars"), T.content_hash(t).alias("hash"))
+    d = d.select("source", "doc_id", S.hashed(T.tokens(t)).alias("tk"), T.word_count(t).alias("words"), F.length(t).cast("long").alias("chars"), T.content_hash(t).alias("hash"))
     return S.consecutive(d, "source", "doc_id", ["tk", "words", "chars", "hash"])
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs_of(spark, sf_dir)
     change, share = S.length_change(F.col("earlier_words"), F.col("later_words"))
-    scored = pairs.select("source", "earlier_doc_id", "later_doc_id", "earlier_words", "later_words", change.alias("word_change"), share.alias("word_change_ratio"), S.jaccard(T.shingles(F.col("earlier_tk")), T.shingles(F.col("later_tk"))).alias("bigram_jaccard"))
+    scored = pairs.select("source", "earlier_doc_id", "later_doc_id", "earlier_words", "later_words", change.alias("word_change"), share.alias("word_change_ratio"), S.jaccard(S.hashed_bigrams(F.col("earlier_tk")), S.hashed_bigrams(F.col("later_tk"))).alias("bigram_jaccard"))
     cosines = S.term_cosine(pairs, ["earlier_doc_id"], "earlier_tk", "later_tk")
     return scored.join(cosines, "earlier_doc_id", "left")
 
