@@ -306,6 +306,26 @@ def test_sharding(spark):
     assert rows[0].shard == rows[1].shard
     with pytest.raises(ValueError):
         sharding.lookup_table(["a", "b"], 10)
+    clash = spark.createDataFrame([(1, "a", 2), (None, "b", 3)], "slot long, shard string, _slot int")
+    out = sharding.sharded(clash, F.col("slot"), ["x", "y"], 11)
+    assert out.columns == ["slot", "shard", "_slot", "slot_", "shard_"] and out.count() == 2
+    assert sharding.sharded(docs.limit(0), F.col("doc_id")).count() == 0
+
+
+def test_sharding_table_by_definition():
+    """Shards in turn claim the first free slot of offset + k * skip, replayed slot by slot."""
+    shards, size = [f"s{i}" for i in range(5)], 101
+    orders = []
+    for s in shards:
+        offset, skip = sharding._number(f"offset {s}") % size, sharding._number(f"skip {s}") % (size - 1) + 1
+        orders.append([(offset + k * skip) % size for k in range(size)])
+        assert sorted(orders[-1]) == list(range(size))
+    want: dict[int, int] = {}
+    while len(want) < size:
+        for i, order in enumerate(orders):
+            if len(want) < size:
+                want[next(x for x in order if x not in want)] = i
+    assert sharding.lookup_table(shards, size) == [want[k] for k in range(size)]
 
 
 def test_repeated_passages(spark, monkeypatch):

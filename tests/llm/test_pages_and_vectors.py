@@ -29,6 +29,21 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_records_have_names_of_their_own(spark, tmp_path):
+    import gzip
+
+    rows = [(5, "http://a", "same"), (5, "http://a", "same"), (3, "http://b", "same"), (3, "http://b", "same"), (3, "http://b", "other"), (None, "http://c", "same"), (None, "http://c", "x"), (None, "http://c", "x")]
+    warc.archived(spark.createDataFrame(rows, PAGES), f"{tmp_path}/w")
+    records = [r for f in tmp_path.glob("w/*.gz") for r in warc.read_warc(io.BytesIO(gzip.decompress(f.read_bytes()))) if r.headers["WARC-Type"] != "warcinfo"]
+    ids = {r.headers["WARC-Record-ID"]: r for r in records}
+    assert len(records) == len(rows) == len(ids)
+    revisits = [r for r in records if r.headers["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3
+    for r in revisits:
+        of = ids[r.headers["WARC-Refers-To"]]
+        assert of.headers["WARC-Type"] == "response" and of.headers["X-Page-Id"] == "5" and of.headers["WARC-Payload-Digest"] == r.headers["WARC-Payload-Digest"]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     data = warc.write_arc([("http://a/ b", "20210203040506", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\n"), (None, "2021", "text/plain", b"")], version)

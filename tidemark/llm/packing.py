@@ -14,7 +14,7 @@ ids of the whole text, since the tokenizer's pattern never joins across white sp
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,11 +164,11 @@ class Encoder:
                 yield flat[bound[at[k]] : bound[at[k + 1]]]
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+def token_pieces(docs: DataFrame, path: str | Callable[[], str], capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document. path may be a function that finds the file where it is called."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path() if callable(path) else path)
         for batch in batches:
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
@@ -229,7 +229,7 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return out
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str | Callable[[], str], capacity: int = CAPACITY) -> DataFrame:
     """The pieces of token_pieces with sequence_id and offset, at most capacity tokens a sequence and no gaps."""
     pieces = written(token_pieces(docs, path, capacity), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows

@@ -127,7 +127,7 @@ def tokenizer_path() -> str:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
-    return packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

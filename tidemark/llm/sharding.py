@@ -62,12 +62,21 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 
 def sharded(df: DataFrame, key: Column, shards: Sequence[str] = SHARDS, size: int = SIZE, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """df with the slot and the shard of each row; df keeps all its columns, so slot and shard must be new names."""
-    if {slot, shard} & set(df.columns):
-        raise ValueError("slot and shard must not be columns of df")
+    """df with the slot and the shard of each row. df keeps all its columns; a new name that df has gets underscores until it is free."""
+    taken = {c.lower() for c in df.columns}
+    slot, shard = (_free(name, taken) for name in (slot, shard))
     spark = df.sparkSession
     table = spark.createDataFrame(list(enumerate(lookup_table(shards, size))), "_slot int, _shard int")
+    place, index = (_free(name, taken) for name in ("_slot", "_shard"))
+    table = table.toDF(place, index)
     names = F.array(*[F.lit(s) for s in shards])
     hashed = df.withColumn(slot, slot_of(key, size).cast("int"))
-    out = hashed.join(F.broadcast(table), F.col(slot) == F.col("_slot"), "left")
-    return out.withColumn(shard, F.get(names, F.col("_shard"))).drop("_slot", "_shard")
+    out = hashed.join(F.broadcast(table), F.col(slot) == F.col(place), "left")
+    return out.withColumn(shard, F.get(names, F.col(index))).drop(place, index)
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    taken.add(name)
+    return name

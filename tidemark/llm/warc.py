@@ -101,9 +101,9 @@ def digest(payload: bytes) -> str:
     return b32encode(sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, arc: ArcRecord) -> str:
-    """A name-based identifier: the same record gets it again after a lost task."""
-    name = f"{page_id} {arc.fields['URL']} {arc.fields['Archive-date']}"
+def record_id(page_id: int | None, payload_digest: str, row: int | None = None) -> str:
+    """A name-based identifier: the same record gets it again after a lost task. row tells rows of a page apart that aren't its first."""
+    name = f"{page_id} {payload_digest}" if row is None else f"{page_id} {payload_digest} {row}"
     return f"<urn:uuid:{uuid.UUID(bytes=sha1(name.encode()).digest()[:16], version=5)}>"
 
 
@@ -113,21 +113,22 @@ def timestamp(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def converted(arc: ArcRecord, page_id: int | None, refers_to: int | None) -> WarcRecord:
+def converted(arc: ArcRecord, page_id: int | None, refers_to: int | None, row: int | None = None) -> WarcRecord:
     """The WARC record of an ARC record; a revisit keeps the head of the response and drops its payload."""
     head, _, payload = arc.content.partition(SEPARATOR.encode())
     block = head + SEPARATOR.encode() + (payload if refers_to is None else b"")
+    payload_digest = digest(payload)
     headers = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": record_id(page_id, arc),
+        "WARC-Record-ID": record_id(page_id, payload_digest, row),
         "WARC-Date": timestamp(arc.fields["Archive-date"]),
         "WARC-Target-URI": arc.fields["URL"],
-        "WARC-Payload-Digest": f"sha1:{digest(payload)}",
+        "WARC-Payload-Digest": f"sha1:{payload_digest}",
         "WARC-Block-Digest": f"sha1:{digest(block)}",
         "X-Page-Id": "" if page_id is None else str(page_id),
     }
     if refers_to is not None:
-        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-Id": str(refers_to)}
+        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to, payload_digest), "X-Refers-To-Page-Id": str(refers_to)}
     return WarcRecord(headers | {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(block))}, block)
 
 
@@ -157,10 +158,15 @@ def archived(pages: DataFrame, path: str, least: int = 0, version: int = 1, date
     """Write pages (page_id, url, html) to WARC files under path. Payloads of fewer than least bytes never revisit."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     key = F.sha1(F.encode("html", "UTF-8"))
-    copies = rows.where(F.octet_length("html") >= least).groupBy(key.alias("key")).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    copies = rows.where(F.octet_length("html") >= least).groupBy(key.alias("key")).agg(F.max("page_id").alias("original"), F.max_by("row", "page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= least, key)).join(small_side(written(copies, "copies")), "key", "left")
     refers = F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))
 
+    # the record that others refer to goes by its page and payload alone, unless rows repeat it
+    first = F.col("page_id").isNotNull() & (F.col("row") == F.col("first"))
+    row = F.when(~F.coalesce(first, F.col("page_id").isNotNull() & F.col("key").isNotNull() & F.col("original").isNull()), F.col("row"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about = f"software: tidemark\r\nformat: WARC File Format 1.1\r\nconformsTo: ARC version {version}\r\n".encode()
         head = WarcRecord({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(bytes=sha1(about).digest()[:16], version=5)}>", "WARC-Date": timestamp(date), "Content-Type": "application/warc-fields", "Content-Length": str(len(about))}, about)
@@ -173,10 +179,10 @@ def archived(pages: DataFrame, path: str, least: int = 0, version: int = 1, date
                     body = html.encode()
                     contents.append(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body)
                 arc = write_arc([(u, date, "text/html", c) for u, c in zip(part.column(1).to_pylist(), contents, strict=True)], version, date)
-                out = [serialised(converted(r, i, o)).decode() for r, i, o in zip(read_arc(arc), part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                out = [serialised(converted(r, i, o, n)).decode() for r, i, o, n in zip(read_arc(arc), *(part.column(c).to_pylist() for c in (0, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string()).cast(pa.string())], ["value"])
 
-    records = rows.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(lean(run), "value string")
+    records = rows.select("page_id", "url", "html", refers.alias("refers_to"), row.alias("row")).mapInArrow(lean(run), "value string")
     records.write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
 
 
