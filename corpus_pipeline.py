@@ -43,7 +43,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of the documents that are left, with their places in sequences."""
-    return packed(docs, tokenizer_path())
+    return packed(docs, tokenizer_path)
 
 
 STAGES: list[tuple[str, Stage]] = [

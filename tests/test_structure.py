@@ -68,7 +68,7 @@ def test_questions(spark):
     q = spark.createDataFrame([("How did ABC risk increase from 2019 to 2021?",), ("What did ABC say in 2020?",), ("Which firms mention water?",)], "q string")
     a = questions.analysed(q, "q", ["ABC"])
     got = [(r.route, r.direction, r.tickers) for r in a.withColumn("route", questions.routed(a)).collect()]
-    assert got == [("COMPARISON", "INCREASE", ["ABC"]), ("DOCUMENT", None, ["ABC"]), ("CORPUS", None, [])]
+    assert got == [("COMPARISON", "increased", ["ABC"]), ("DOCUMENT", None, ["ABC"]), ("CORPUS", None, [])]
     assert one(spark, questions.concept_coverage(F.lit("Water risk"), F.lit("Supply"), F.array(F.lit("water"), F.lit("supply"))))[0] == pytest.approx(0.7)
     assert one(spark, questions.responsiveness(F.lit(1.0), F.lit(0.5), F.lit(True), F.lit(True)))[0] == pytest.approx(0.27)
     gate = lambda *a: tuple(one(spark, *questions.gate(*map(F.lit, a))))
