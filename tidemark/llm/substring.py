@@ -6,8 +6,9 @@ that holds c has its minimum at c. Only windows that are at least a passage wide
 tokens. Windows with equal minimum, from any of the functions, are joined; around the shared token the intervals are laid
 on each other and verified: a passage of 46 tokens around c, of which at least 41 agree, has a similarity of 41 / 51 or
 more. An exact passage of 50 words has the same minimum wherever it stands, so it is found by any one function. Two
-passages whose tokens have similarity s share none of the HASHES minima with chance (1 - s) ** HASHES, 0.8 % at 0.8; in a
-group of edited copies of one passage a copy is lost only if the minima fall on its own edit, 0.13 % for a word of 50.
+passages whose tokens have similarity s share none of the HASHES minima with chance (1 - s) ** HASHES, 4 % at 0.8, less
+for longer ones; in a group of edited copies of one passage a copy is lost only if the minima fall on its own edit, 1.2 %
+for a word of 50.
 
 Equal windows of a group collapse to one, which is a passage as a whole if several documents hold it. The distinct ones
 are compared each with every other, and a span is the union of what a window shares with any window of another document.
@@ -32,7 +33,7 @@ from .common import by_group, components, discard, lean, small_side, written
 from .kernels import U, pieces, shingle_at, splitmix, stream, text_buffers, words
 
 #: Hash functions; words of a passage; its tokens; tokens that must agree.
-HASHES, WORDS = 3, 50
+HASHES, WORDS = 2, 50
 TOKENS = WORDS - 4
 AGREE = int(np.ceil(2 * TOKENS * 0.8 / 1.8))
 #: Windows of a group up to which one task compares them; distinct windows in a block of a larger one.
