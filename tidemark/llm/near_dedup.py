@@ -6,7 +6,7 @@ compared exhaustively on sketches, a larger one is branched by the next tokens o
 makes candidate components, and inside these the full sets decide, so a reported link is never an estimate.
 
 A node of more than SMALL members first links what passes the sketch of its first member, as all members of a large group
-of near copies do. The rest, if it is few, meets every member in blocks of SMALL; if it is many, the node branches, with
+of near copies do. The rest, if it is few, meets every member in blocks; if it is more than SMALL, the node branches, with
 all its members. So a group of near copies of any size is compared in time linear in it.
 
 Recall. The root of each tree branches on two tokens, each further level on two that the path hasn't used. A pair of
@@ -39,7 +39,7 @@ from .kernels import U, shingle_sets, stream
 #: Positions of the sketch, minwise tokens for paths, trees, branches of a node.
 SKETCH, TOKENS, TREES, BRANCHES = 128, 16, 4, 2
 #: Members of a node up to which it is compared exhaustively, levels under the root, members of a block of the rest.
-SMALL, DEPTH, BLOCK = 512, 4, 512
+SMALL, DEPTH, BLOCK = 4096, 4, 2048
 #: Shingles of a component up to which one task compares it whole, and of a block of a larger one.
 WHOLE = 4_000_000
 #: A pair passes the sketch if its agreement is at most so many standard deviations under the threshold.
