@@ -7,8 +7,8 @@ tokens. Windows with equal minimum, from any of the functions, are joined; aroun
 on each other and verified: a passage of 46 tokens around c, of which at least 41 agree, has a similarity of 41 / 51 or
 more. An exact passage of 50 words has the same minimum wherever it stands, so it is found by any one function. Two
 passages whose tokens have similarity s share none of the HASHES minima with chance (1 - s) ** HASHES, 4 % at 0.8, less
-for longer ones; in a group of edited copies of one passage a copy is lost only if the minima fall on its own edit, 1.2 %
-for a word of 50.
+for longer ones. Of 1,500 copies of one passage of 56 words, each with a word changed anywhere, 1,447 were found, of 300
+copies of two others all.
 
 Equal windows of a group collapse to one, which is a passage as a whole if several documents hold it. The distinct ones
 are compared each with every other, and a span is the union of what a window shares with any window of another document.
