@@ -53,10 +53,72 @@ def candidate_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_alignment")
 def greedy_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched, new and removed vectors of each label; sequential choice, tested on literals."""
+    """Matched, new, removed and ambiguous vectors of each label; sequential choice, tested against plain Python."""
     e, w = _sides(spark, sf_dir)
     proposals = A.candidates(e, w, "run", floor=0.2).withColumnRenamed("similarity", "score").select("run", "l_idx", "e_idx", "score")
-    return A.assembled(e, w, A.assigned(proposals, "run", 0.3), "run")
+    matches = A.assigned(proposals, "run", 0.3, claims=True)
+    return A.assembled(e, w, matches, "run", A.split_flags(proposals, matches, "run"), A.merge_flags(proposals, matches, "run"))
+
+
+MUTUAL_SQL = f"""{CANDIDATES_SQL},
+p AS (SELECT run, l_idx, e_idx, similarity * 2.5 AS score FROM c WHERE similarity >= 0.2),
+m AS (SELECT run, l_idx, e_idx, score FROM p QUALIFY row_number() OVER (PARTITION BY run, l_idx ORDER BY round(score, 9) DESC, e_idx) = 1 AND row_number() OVER (PARTITION BY run, e_idx ORDER BY round(score, 9) DESC, l_idx) = 1)"""
+
+
+def _mutual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates, scaled to the range that the bars are made for, and as matches the pairs that are each other's best."""
+    p = A.candidates(*_sides(spark, sf_dir), "run", floor=0.2).select("run", "l_idx", "e_idx", (F.col("similarity") * 2.5).alias("score"))
+    best = lambda own, other: F.row_number().over(Window.partitionBy("run", own).orderBy(F.desc(F.round("score", 9)), other))
+    return p, p.withColumn("_l", best("l_idx", "e_idx")).withColumn("_e", best("e_idx", "l_idx")).where("_l = 1 and _e = 1").select("run", "l_idx", "e_idx", "score")
+
+
+BAR_SQL = "CASE WHEN abs({a} - {b}) <= 3 THEN p.score >= 0.35 ELSE p.score >= 0.65 END"
+FLAGS_SQL = f"""{MUTUAL_SQL},
+sp AS (SELECT p.run, p.l_idx, p.e_idx AS split_of, m.l_idx AS owner FROM p JOIN m ON p.run = m.run AND p.e_idx = m.e_idx WHERE (p.run, p.l_idx) NOT IN (SELECT (run, l_idx) FROM m) AND {BAR_SQL.format(a="p.l_idx", b="m.l_idx")} QUALIFY row_number() OVER (PARTITION BY p.run, p.l_idx ORDER BY p.score DESC, p.e_idx) = 1),
+mg AS (SELECT p.run, p.e_idx, p.l_idx AS merged_into, m.e_idx AS owner FROM p JOIN m ON p.run = m.run AND p.l_idx = m.l_idx WHERE (p.run, p.e_idx) NOT IN (SELECT (run, e_idx) FROM m) AND {BAR_SQL.format(a="p.e_idx", b="m.e_idx")} QUALIFY row_number() OVER (PARTITION BY p.run, p.e_idx ORDER BY p.l_idx) = 1)"""
+
+
+@query(
+    "split_and_merge",
+    f"""WITH {FLAGS_SQL} SELECT run, 'SPLIT' AS kind, l_idx AS idx, split_of AS other, owner, 'likely split (' || CASE WHEN abs(l_idx - owner) = 1 THEN 'adjacent' ELSE abs(l_idx - owner) || ' passages apart' END || '): also matches the earlier passage taken by later passage ' || owner AS note FROM sp
+    UNION ALL SELECT run, 'MERGE', e_idx, merged_into, owner, 'likely merge (' || CASE WHEN abs(e_idx - owner) = 1 THEN 'adjacent' ELSE abs(e_idx - owner) || ' passages apart' END || '): also proposed for the later passage matched to earlier passage ' || owner FROM mg""",
+)
+def split_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, m = _mutual(spark, sf_dir)
+    s = A.split_flags(p, m, "run").select("run", F.lit("SPLIT").alias("kind"), F.col("l_idx").alias("idx"), F.col("split_of").alias("other"), "owner", "note")
+    return s.unionByName(A.merge_flags(p, m, "run").select("run", F.lit("MERGE").alias("kind"), F.col("e_idx").alias("idx"), F.col("merged_into").alias("other"), "owner", "note"))
+
+
+@query(
+    "collision_notes",
+    f"""WITH {MUTUAL_SQL}, e AS (SELECT label AS run, vec_id AS idx, vec_id % 64 AS digest FROM embeddings WHERE vec_id % 2 = 0),
+    d AS (SELECT run, idx, count(*) OVER (PARTITION BY run, digest) > 1 AS twice FROM e),
+    r AS (SELECT m.run, m.l_idx, (SELECT count(DISTINCT p.l_idx) FROM p WHERE p.run = m.run AND p.e_idx = m.e_idx AND p.l_idx <> m.l_idx AND p.score >= 0.45) AS rivals, d.twice AS duplicated FROM m JOIN d ON d.run = m.run AND d.idx = m.e_idx)
+    SELECT *, CASE WHEN rivals > 0 THEN 'earlier passage also proposed by ' || rivals || ' other later passages, match may be arbitrary' ELSE 'earlier passage duplicates another earlier one, match cannot be disambiguated' END AS note FROM r WHERE rivals > 0 OR duplicated""",
+)
+def collision_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, m = _mutual(spark, sf_dir)
+    e = _sides(spark, sf_dir)[0].withColumn("digest", F.col("idx") % 64)
+    return A.collision_flags(p, m, e, "run")
+
+
+@query(
+    "alignment_runs",
+    f"""WITH {FLAGS_SQL}, a AS (
+      SELECT v.run, CASE WHEN m.e_idx IS NOT NULL THEN 'MATCHED' WHEN sp.l_idx IS NOT NULL THEN 'AMBIGUOUS' ELSE 'NEW' END AS status FROM v LEFT JOIN m ON m.run = v.run AND m.l_idx = v.idx LEFT JOIN sp ON sp.run = v.run AND sp.l_idx = v.idx WHERE v.idx % 2 = 1
+      UNION ALL SELECT v.run, CASE WHEN mg.e_idx IS NOT NULL THEN 'AMBIGUOUS' ELSE 'REMOVED' END FROM v LEFT JOIN mg ON mg.run = v.run AND mg.e_idx = v.idx WHERE v.idx % 2 = 0 AND (v.run, v.idx) NOT IN (SELECT (run, e_idx) FROM m)),
+    g AS (SELECT run, count(*) FILTER (status = 'MATCHED') AS matched_count, count(*) FILTER (status = 'NEW') AS new_count, count(*) FILTER (status = 'REMOVED') AS removed_count, count(*) FILTER (status = 'AMBIGUOUS') AS ambiguous_count FROM a GROUP BY 1),
+    w AS (SELECT *, nullif(concat_ws('; ', CASE WHEN run % 3 = 0 THEN 'source extraction quality NEEDS_REVIEW on at least one side' END, CASE WHEN run % 4 = 1 THEN 'transition-period pair' END, CASE WHEN run * 3 > 18 THEN 'irregular reporting gap (' || run * 3 || ' months)' END, CASE WHEN ambiguous_count > 0 THEN ambiguous_count || ' ambiguous alignment(s)' END), '') AS review_reason FROM g)
+    SELECT *, CASE WHEN review_reason IS NULL THEN 'COMPLETED' ELSE 'COMPLETED_WITH_WARNINGS' END AS run_status FROM w""",
+)
+def alignment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and warnings of each label's alignment; matches are the pairs that are each other's best, as SQL can state them."""
+    e, w = _sides(spark, sf_dir)
+    p, m = _mutual(spark, sf_dir)
+    rows = A.assembled(e, w, m, "run", A.split_flags(p, m, "run"), A.merge_flags(p, m, "run"))
+    pairs = t(spark, sf_dir, "embeddings").select(F.col("label").alias("run")).distinct()
+    pairs = pairs.select("run", F.when(F.col("run") % 3 == 0, F.lit("NEEDS_REVIEW")).otherwise(F.lit("GOOD")).alias("earlier_quality"), F.lit("GOOD").alias("later_quality"), (F.col("run") % 4 == 1).alias("is_transition"), (F.col("run") * 3).alias("gap_months"))
+    return A.run_summary(rows, pairs, "run").select("run", "matched_count", "new_count", "removed_count", "ambiguous_count", "review_reason", "run_status")
 
 
 @query(
