@@ -31,11 +31,11 @@ def value(spark, column, **given):
         (T.spellings, "organize", ["organise"]), (T.spellings, "analyze", ["analyse"]),
         (T.hyphen_parts, "well-known", ["well", "known"]), (T.hyphen_parts, "plain", None),
         (T.fragment_share, "ab\n\nlong enough\n\n1", 2 / 3), (T.fragment_share, "", 1.0),
-        (T.repeats_phrase, "a b c d x a b c d", True), (T.repeats_phrase, "a b c d e", False),
+        (T.repeats_phrase, "a b c d x a, B c d", True), (T.repeats_phrase, "a b c d e", False),
         (T.normal_form, " A  b\nC ", "a b c"),
         (T.redacted_url, "https://u:p@h:80/a/b?q=1#x", "https://h:80/a/b"),
         (T.alias, "Acme Holdings Ltd.", "Acme"),
-        (T.grouped_numbers, "1,000 2,000 of 3,000", True), (T.grouped_numbers, "sold 1,000 units last year for 2,000 in all", False),
+        (T.grouped_numbers, "1,000 2,000 of 3,000", True), (T.grouped_numbers, "1,000 of 3,000", False), (T.grouped_numbers, "1 000 200 300 400 500 600 700", True), (T.grouped_numbers, "sold 1,000 units last year for 2,000 in all", False),
         (T.query_terms, '"net debt" a Ratio', ["net", "debt", "ratio"]),
     ],
 )

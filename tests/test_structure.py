@@ -12,22 +12,56 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
+PROSE = "the group grew its revenue across all regions while costs were held and the board expects this to go on. " * 4
+H, C, L, P = "HEADING_WITH_BODY", "TABLE_CONTEXT", "LIST", "PARAGRAPH"
+NUMBERS = " ".join(["grew 123"] * 45) + ". "
+
+
 @pytest.mark.parametrize(
-    ("text", "heading", "listed", "near", "want"),
+    ("text", "heading", "kind", "item", "want", "action"),
     [
-        ("word " * 50, "A", False, False, "fragment_heading"),
-        ("1\n\n2\n\nlong enough words", "Notes", False, False, "fragmented"),
-        ("see the Table of contents for pages and much more text", None, False, False, "contents"),
-        ("Figure 3 shows growth over the years", None, False, False, "caption"),
-        ("totals 1,000 2,000 3,000 4,000", None, False, False, "rendered_table"),
-        ("abcd 1234 5678 efgh", None, False, False, "numeric"),
-        ("plain words with 12 and 34 in it", None, False, True, "table_context"),
-        ("first item of a list", None, True, False, "list"),
-        ("plain narrative text without numbers", "Risks", False, False, None),
+        ("rs", "rs", H, False, "short_fragment_invalid", "EXCLUDE"),
+        ("AB", "AB", H, False, "short_fragment_invalid", "REVIEW"),
+        ("al\n\na\n\nb\n\nlong enough words", "al", H, False, "broken_fragment_sequence", "EXCLUDE"),
+        ("IT\n\nThe systems were renewed.", "IT", H, False, "legitimate_short_abbreviation", "RETAIN"),
+        ("IT\n\nsystems renewed", "IT", H, False, "caption_or_label_like", "REVIEW"),
+        ("IT\n\nsystems renewed", "IT", P, False, None, None),
+        ("a b c\n\nd e f\n\ng h i\n\nand long enough", None, P, False, "broken_fragment_sequence", "EXCLUDE"),
+        ("as set out in the GRI tables", "Notes", P, False, "contents_or_index_like", "EXCLUDE"),
+        ("Remuneration ..... 112", None, P, False, "contents_or_index_like", "EXCLUDE"),
+        (" Table of contents ", None, P, False, "contents_or_index_like", "EXCLUDE"),
+        ("Figure 3 shows growth over the years", None, P, False, "caption_or_label_like", "EXCLUDE"),
+        ("abcd 1234 5678 efgh ij", None, P, False, "numeric_or_table_like_source", "EXCLUDE"),
+        ("abcd 1234 5678 efgh", None, P, False, None, None),
+        (NUMBERS + PROSE, None, P, False, "ordinary_prose_false_positive", "RETAIN"),
+        (PROSE, None, C, False, "ordinary_prose_false_positive", "RETAIN"),
+        (PROSE + "10 000 20 300; 40 500 of 60 700, 80 900", None, C, False, "financial_table_rendered_as_prose", "EXCLUDE"),
+        (PROSE + "(2021: 11.3%) and (2020: 9%)", None, C, False, "financial_table_rendered_as_prose", "EXCLUDE"),
+        ("Exercise price of series a and series b. " + PROSE, None, C, False, "financial_table_rendered_as_prose", "EXCLUDE"),
+        (PROSE, "Top 20 shareholders", C, False, "financial_table_rendered_as_prose", "EXCLUDE"),
+        ("Number of meetings 4 4, 4 3, 2 2. " + PROSE, None, C, False, "financial_table_rendered_as_prose", "EXCLUDE"),
+        (PROSE + "USD, GBP, EUR and ZAR.", None, C, False, "currency_exposure_table_mixed", "REVIEW"),
+        ("plain words beside a table", None, C, True, "table_context", None),
+        ("first item of a list", None, L, False, "list_content", None),
+        ("a list within prose", None, P, True, "list_content", None),
+        (PROSE, "Risks", P, False, None, None),
+        ("", None, P, False, None, None),
+        (None, None, None, None, None, None),
     ],
 )
-def test_structured_category(spark, text, heading, listed, near, want):
-    assert one(spark, structure.structured_category(F.lit(text), F.lit(heading).cast("string"), F.lit(listed), F.lit(near)))[0] == want
+def test_structured_category(spark, text, heading, kind, item, want, action):
+    t, h, k = (F.lit(x).cast("string") for x in (text, heading, kind))
+    c = structure.structured_category(t, h, k, F.lit(item).cast("boolean"))
+    assert tuple(one(spark, c, structure.structured_action(c, h, k))) == (want, action)
+
+
+def test_provenance_warns_of_order(spark):
+    blocks = spark.createDataFrame([(d, b, p, o, 10) for d in (1, 2) for b, p, o in (("x", 1, 2), ("y", 2, 1), ("z", 2, 2))], "doc int, block string, page int, ord int, words int")
+    sources = spark.createDataFrame([(1, 0, 0, "x"), (1, 0, 1, "y"), (1, 1, 0, "z"), (2, 0, 0, "y"), (2, 0, 1, "x"), (2, 1, 0, "z")], "doc int, passage int, place int, block string")
+    inverted = structure.inversions(sources, blocks, "doc", "passage", "place", "block", ["page", "ord"])
+    words = spark.createDataFrame([(1, 30), (2, 30)], "doc int, passage_words int")
+    got = {r.doc: (r.inverted, r.verdict) for r in structure.provenance(blocks, sources, "doc", "block", "words", words, inverted).collect()}
+    assert got == {1: (0, "PASSED"), 2: (1, "WARNING")}
 
 
 def test_fiscal_evidence(spark):

@@ -120,8 +120,8 @@ def fragment_share(text: Column) -> Column:
 
 
 def repeats_phrase(text: Column, n: int = 4) -> Column:
-    """Whether n words in a row, in small letters, occur twice."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    """Whether n words in a row, in small letters, occur twice; words are letters a to z and apostrophes."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
     grams = shingles(words, n)
     return F.size(grams) > F.size(F.array_distinct(grams))
 
@@ -186,14 +186,16 @@ def redacted_url(url: Column) -> Column:
 
 
 def grouped_numbers(text: Column) -> Column:
-    """Whether numbers grouped in thousands stand in a table-like row: 7 groups in one, or two with a word between at most."""
+    """Whether numbers grouped in thousands stand as in a table's rows: one of seven separators, or two pairs of neighbours
+    with one word between them at most.
+    """
     pattern = r"\b[0-9]{1,3}(?:[ ,][0-9]{3})+\b"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     inner = F.slice(gaps, 2, F.greatest(F.size(gaps) - 2, F.lit(0)))
-    long = F.exists(hits, lambda h: F.size(F.split(h, "[ ,]")) >= 7)
-    tight = F.exists(inner, lambda g: F.size(F.filter(F.split(g, r"\s+"), lambda w: w != "")) <= 1)
-    return long | (F.size(inner) > 0) & tight
+    long = F.exists(hits, lambda h: F.length(F.regexp_replace(h, "[0-9]", "")) >= 7)
+    tight = F.filter(inner, lambda g: F.size(F.regexp_extract_all(g, F.lit("[A-Za-z]+"), F.lit(0))) <= 1)
+    return long | (F.size(tight) >= 2)
 
 
 def compatible_form(text: Column) -> Column:

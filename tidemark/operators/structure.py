@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
@@ -44,19 +44,83 @@ def report_quality(pages: DataFrame, doc: str, quality: str) -> DataFrame:
     return agg.withColumn("usable_share", share).withColumn("quality", tier)
 
 
-def structured_category(text: Column, heading: Column, list_only: Column, near_table: Column) -> Column:
-    """What kind of structured content a passage is, by the first rule that fits; null for narrative."""
-    words, digits = T.word_count(text), T.share_of(text, "Nd")
-    low = F.lower(F.concat_ws(" ", heading, text))
+#: Patterns of structured content (fixed values).
+INDEX = r"(?i)\bGRI\b|\bSASB\b|\bTCFD\b|\bESG\s+index\b|sustainability\s+index|integrated\s+report(?:ing)?\s+index|\bIIRC\b"
+LEADERS = r"\.{3,}\s*[0-9]{1,4}\b"
+CONTENTS = r"(?i)^\s*(contents|table of contents|index)\s*$"
+CAPTION = r"(?i)^\s*(figure|table|chart|graph|source)\s*[:\-0-9]"
+YEAR_PAIRS = r"\(\s*(?:19|20)[0-9]{2}\s*:\s*[0-9,.]+\s*%?\s*\)"
+GRANTS = r"(?i)\bgrant date\b|\bvesting date\b|\brights series\b|\bexercise price\b"
+SERIES = r"(?i)\bseries\s+[a-z0-9]+\b"
+DATES = r"\b[0-9]{1,2}[/\-][0-9]{1,2}[/\-][0-9]{2,4}\b|\b[0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4}\b"
+HOLDERS = r"(?i)largest holders|shareholders and cdi holders|top\s+[0-9]+\s+shareholders"
+MEETINGS = r"(?i)number of meetings\b"
+DIGIT_PAIRS = r"\b[0-9]\s+[0-9]\b"
+CURRENCIES = r"\b(?:USD|GBP|EUR|ZAR|AUD|CAD|CHF|JPY|CNY|XAF|XOF|NAD|BWP|ZMW|MZN|NGN|KES|GHS|MUR|NOK|SEK|DKK|INR|HKD)\b"
+#: Digit share that is elevated and one that is too much, share of fragments that is too much and one that is little, words
+#: of coherent prose (fixed values).
+DIGITS, DIGITS_MOST, FRAGMENTS, FRAGMENTS_FEW, PROSE = 0.15, 0.20, 0.5, 0.3, 40
+
+
+def _hits(text: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def rendered_table(text: Column, heading: Column) -> Column:
+    """What kind of table a text is that reads like prose, by the first evidence that holds; null without any."""
+    grants = text.rlike(GRANTS) & ((_hits(text, SERIES) >= 2) | (_hits(text, DATES) >= 2) | T.repeats_phrase(text))
+    financial = T.grouped_numbers(text) | (_hits(text, YEAR_PAIRS) >= 2) | grants
+    financial = financial | F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), text).rlike(HOLDERS)
+    financial = financial | (text.rlike(MEETINGS) & (_hits(text, DIGIT_PAIRS) >= 3))
+    return F.when(financial, F.lit("financial_table_rendered_as_prose")).when(_hits(text, CURRENCIES) >= 4, F.lit("currency_exposure_table_mixed"))
+
+
+def _two_characters(heading: Column, passage_type: Column) -> Column:
+    return (F.length(_stripped(F.coalesce(heading, F.lit("")))) == 2) & F.coalesce(passage_type == "HEADING_WITH_BODY", F.lit(False))
+
+
+def structured_category(text: Column, heading: Column, passage_type: Column, list_item: Column) -> Column:
+    """What kind of structured content a passage is, by the first rule that fits; null for ordinary narrative or no text.
+
+    list_item: whether a block of the passage is an item of a list.
+    """
+    words, digits, own = T.word_count(text), T.share_of(text, "Nd"), _stripped(text)
+    h = _stripped(F.coalesce(heading, F.lit("")))
+    body = F.when(own.startswith(h), F.substr(own, F.length(h) + 1)).otherwise(text)
+    two, shattered = _two_characters(heading, passage_type), T.fragment_share(own)
+    prose = (words >= PROSE) & text.rlike("[.!?]") & (shattered < FRAGMENTS_FEW)
+    numeric, beside = (words >= 5) & (digits >= DIGITS), F.coalesce(passage_type == "TABLE_CONTEXT", F.lit(False))
+    mistaken = F.coalesce(rendered_table(text, heading), F.lit("ordinary_prose_false_positive"))
+    return (
+        F.when(text.isNull(), F.lit(None).cast("string"))
+        .when(two & (words == 1), F.lit("short_fragment_invalid"))
+        .when(two & (T.fragment_share(body) > FRAGMENTS), F.lit("broken_fragment_sequence"))
+        .when(two & body.rlike("[.!?]"), F.lit("legitimate_short_abbreviation"))
+        .when(two, F.lit("caption_or_label_like"))
+        .when((words >= 10) & (shattered > FRAGMENTS), F.lit("broken_fragment_sequence"))
+        .when(text.rlike(INDEX) | text.rlike(LEADERS) | own.rlike(CONTENTS), F.lit("contents_or_index_like"))
+        .when(own.rlike(CAPTION), F.lit("caption_or_label_like"))
+        .when(numeric & prose & (digits < DIGITS_MOST), mistaken)
+        .when(numeric, F.lit("numeric_or_table_like_source"))
+        .when(beside & prose, mistaken)
+        .when(beside, F.lit("table_context"))
+        .when(F.coalesce((passage_type == "LIST") | list_item, F.lit(False)), F.lit("list_content"))
+    )
+
+
+def structured_action(category: Column, heading: Column, passage_type: Column) -> Column:
+    """What is suggested for a passage of a category: EXCLUDE, REVIEW or RETAIN; null where nothing is."""
+    two, h = _two_characters(heading, passage_type), _stripped(heading)
     return (
-        F.when(F.length(F.trim(F.coalesce(heading, F.lit("")))).between(1, 2), F.lit("fragment_heading"))
-        .when(T.fragment_share(text) >= 0.5, F.lit("fragmented"))
-        .when(low.rlike(r"\btable of contents\b|\bgri (?:index|content)"), F.lit("contents"))
-        .when(F.lower(text).rlike(r"^(?:figure|table|chart|graph)\s+[0-9]+"), F.lit("caption"))
-        .when(T.grouped_numbers(text) & (digits >= 0.15), F.lit("rendered_table"))
-        .when((digits >= 0.15) & ~((words >= 40) & (T.share_of(text, "L") >= 0.3)), F.lit("numeric"))
-        .when(near_table & (digits >= 0.05), F.lit("table_context"))
-        .when(list_only, F.lit("list"))
+        F.when(category == "short_fragment_invalid", F.when(h.rlike(r"^\p{Lu}+$"), F.lit("REVIEW")).otherwise(F.lit("EXCLUDE")))
+        .when(category == "caption_or_label_like", F.when(two, F.lit("REVIEW")).otherwise(F.lit("EXCLUDE")))
+        .when(category.isin("broken_fragment_sequence", "contents_or_index_like", "numeric_or_table_like_source", "financial_table_rendered_as_prose"), F.lit("EXCLUDE"))
+        .when(category == "currency_exposure_table_mixed", F.lit("REVIEW"))
+        .when(category.isin("legitimate_short_abbreviation", "ordinary_prose_false_positive"), F.lit("RETAIN"))
     )
 
 
@@ -74,13 +138,29 @@ def fiscal_evidence(pages: DataFrame, doc: str, page: str, text: str) -> DataFra
     return agg.select(doc, "proposed", F.when(F.col("n") == 0, F.lit("NONE")).when(F.col("n") == 1, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("confidence"), "months", "transition")
 
 
-def provenance(blocks: DataFrame, sources: DataFrame, doc: str, block: str, words: str, passage_words: DataFrame) -> DataFrame:
-    """(doc, omitted, duplicated, drift, verdict): blocks that no passage or more than one holds, and how far words differ."""
+def inversions(sources: DataFrame, blocks: DataFrame, doc: str, passage: str, place: str, block: str, order: list[str]) -> DataFrame:
+    """(doc, inverted): passages whose blocks, by their place in the passage, don't follow the source's order.
+
+    order: columns of blocks, such as page and reading order. Blocks that the source lacks don't count.
+    """
+    at = F.struct(*[F.col(c) for c in order])
+    placed = sources.join(blocks.select(doc, block, at.alias("_at")), [doc, block])
+    before = F.lag("_at").over(Window.partitionBy(doc, passage).orderBy(place, block))
+    wrong = placed.withColumn("_wrong", F.coalesce(before > F.col("_at"), F.lit(False))).groupBy(doc, passage).agg(F.max("_wrong").alias("_wrong"))
+    return wrong.groupBy(doc).agg(F.count_if("_wrong").alias("inverted"))
+
+
+def provenance(blocks: DataFrame, sources: DataFrame, doc: str, block: str, words: str, passage_words: DataFrame, inverted: DataFrame | None = None) -> DataFrame:
+    """(doc, omitted, duplicated, drift, verdict): blocks that no passage or more than one holds, and how far words differ.
+
+    Given `inverted` (doc, inverted), it is a column too, and passages out of order are a warning.
+    """
     used = sources.groupBy(doc, block).agg(F.count("*").alias("uses"))
     agg = blocks.join(used, [doc, block], "left").groupBy(doc).agg(F.count_if(F.col("uses").isNull()).alias("omitted"), F.count_if(F.col("uses") > 1).alias("duplicated"), F.sum(words).alias("block_words"))
     out = agg.join(passage_words, doc, "left").withColumn("drift", N.ratio(F.abs(F.col("block_words") - F.coalesce("passage_words", F.lit(0))).cast("double"), F.col("block_words")))
-    verdict = F.when((F.col("omitted") > 0) | (F.col("duplicated") > 0), F.lit("FAILED")).when(F.col("drift") > 0.02, F.lit("WARNING")).otherwise(F.lit("PASSED"))
-    return out.select(doc, "omitted", "duplicated", "drift", verdict.alias("verdict"))
+    verdict = F.when((F.col("omitted") > 0) | (F.col("duplicated") > 0), F.lit("FAILED")).when((F.col("drift") > 0.02) | (F.col("inverted") > 0), F.lit("WARNING")).otherwise(F.lit("PASSED"))
+    out = out.withColumn("inverted", F.lit(0).cast("long")) if inverted is None else out.join(inverted, doc, "left").fillna(0, ["inverted"])
+    return out.select(doc, "omitted", "duplicated", "drift", *([] if inverted is None else ["inverted"]), verdict.alias("verdict"))
 
 
 def highlighted(text: Column, terms: list[str]) -> Column:

@@ -64,12 +64,43 @@ def page_and_report_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.report_quality(p, "source", "q").select("source", "pages", "usable", F.round("usable_share", 6).alias("usable_share"), "quality")
 
 
-@query("structured_categories")
+def _share_sql(text: str) -> str:
+    parts = f"list_filter(list_transform(string_split({text}, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return rf"(CASE WHEN len({parts}) = 0 THEN 1.0 ELSE len(list_filter({parts}, lambda x: length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) <= 3)) / len({parts}) END)"
+
+
+def _count_sql(pattern: str) -> str:
+    return f"len(regexp_extract_all(text, '{pattern}'))"
+
+
+GROUPED = r"\b[0-9]{1,3}(?:[ ,][0-9]{3})+\b"
+CATEGORY_SQL = rf"""WITH {LINES_SQL}, x AS (SELECT doc_id, i, line AS text, trim(line) AS own, CASE WHEN i % 7 = 0 THEN left(trim(line), 2) END AS heading,
+  CASE WHEN i % 7 = 0 THEN 'HEADING_WITH_BODY' WHEN i % 5 = 1 THEN 'TABLE_CONTEXT' ELSE 'PARAGRAPH' END AS kind, regexp_matches(line, '^\s*[-*•]') AS item FROM lines),
+y AS (SELECT *, length(trim(heading)) = 2 AS two, CASE WHEN heading IS NULL THEN own ELSE substr(own, length(trim(heading)) + 1) END AS body, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words,
+  CASE WHEN text = '' THEN 0.0 ELSE length(regexp_replace(text, '[^\p{{Nd}}]', '', 'g')) / length(text) END AS digits, regexp_extract_all(lower(text), '[a-z'']+') AS w4, string_split_regex(text, '{GROUPED}') AS gaps,
+  len(list_filter(regexp_extract_all(text, '{GROUPED}'), lambda h: length(regexp_replace(h, '[0-9]', '', 'g')) >= 7)) > 0 AS bridged FROM x),
+z AS (SELECT *, CASE WHEN len(w4) < 4 THEN [] ELSE list_transform(range(1, len(w4) - 2), lambda j: array_to_string(w4[j:j + 3], ' ')) END AS g4, {_share_sql("own")} AS shattered, {_share_sql("body")} AS shattered_body FROM y),
+r AS (SELECT *, CASE WHEN bridged OR len(list_filter(gaps[2:len(gaps) - 1], lambda g: len(regexp_extract_all(g, '[A-Za-z]+')) <= 1)) >= 2 OR {_count_sql(S.YEAR_PAIRS)} >= 2
+    OR (regexp_matches(text, '{S.GRANTS}') AND ({_count_sql(S.SERIES)} >= 2 OR {_count_sql(S.DATES)} >= 2 OR len(g4) > len(list_distinct(g4)))) OR regexp_matches(coalesce(heading, '') || ' ' || text, '{S.HOLDERS}')
+    OR (regexp_matches(text, '{S.MEETINGS}') AND {_count_sql(S.DIGIT_PAIRS)} >= 3) THEN 'financial_table_rendered_as_prose' WHEN {_count_sql(S.CURRENCIES)} >= 4 THEN 'currency_exposure_table_mixed' ELSE 'ordinary_prose_false_positive' END AS mistaken,
+  words >= 40 AND regexp_matches(text, '[.!?]') AND shattered < 0.3 AS prose FROM z),
+k AS (SELECT *, CASE WHEN two AND words = 1 THEN 'short_fragment_invalid' WHEN two AND shattered_body > 0.5 THEN 'broken_fragment_sequence' WHEN two AND regexp_matches(body, '[.!?]') THEN 'legitimate_short_abbreviation' WHEN two THEN 'caption_or_label_like'
+  WHEN words >= 10 AND shattered > 0.5 THEN 'broken_fragment_sequence' WHEN regexp_matches(text, '{S.INDEX}') OR regexp_matches(text, '{S.LEADERS}') OR regexp_matches(own, '{S.CONTENTS}') THEN 'contents_or_index_like' WHEN regexp_matches(own, '{S.CAPTION}') THEN 'caption_or_label_like'
+  WHEN words >= 5 AND digits >= 0.15 AND prose AND digits < 0.20 THEN mistaken WHEN words >= 5 AND digits >= 0.15 THEN 'numeric_or_table_like_source' WHEN kind = 'TABLE_CONTEXT' AND prose THEN mistaken WHEN kind = 'TABLE_CONTEXT' THEN 'table_context' WHEN item THEN 'list_content' END AS category FROM r)
+SELECT category, CASE WHEN category = 'short_fragment_invalid' THEN CASE WHEN regexp_matches(heading, '^\p{{Lu}}+$') THEN 'REVIEW' ELSE 'EXCLUDE' END WHEN category = 'caption_or_label_like' THEN CASE WHEN two THEN 'REVIEW' ELSE 'EXCLUDE' END WHEN category = 'currency_exposure_table_mixed' THEN 'REVIEW'
+  WHEN category IN ('legitimate_short_abbreviation', 'ordinary_prose_false_positive') THEN 'RETAIN' WHEN category IN ('table_context', 'list_content') THEN NULL WHEN category IS NOT NULL THEN 'EXCLUDE' END AS action, count(*) AS n, sum(length(text))::BIGINT AS chars FROM k GROUP BY 1, 2"""
+
+
+@query("structured_categories", CATEGORY_SQL)
 def structured_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured-content category of every passage-like line; the order of rules is tested on literals."""
-    b = W.beside_tables(blocks_of(spark, sf_dir), ["doc_id"], "i", F.contains("text", F.lit("|")), F.lit(True))
-    c = S.structured_category(F.col("text"), F.lit(None).cast("string"), F.col("block_type") == "LIST_ITEM", F.col("near_table"))
-    return b.groupBy(c.alias("category")).agg(F.count("*").alias("n"))
+    """Structured-content category of every line as a passage; every seventh has a heading of its first two characters."""
+    b = blocks_of(spark, sf_dir)
+    seventh = F.col("i") % 7 == 0
+    heading = F.when(seventh, F.left(F.trim("text"), F.lit(2)))
+    kind = F.when(seventh, F.lit("HEADING_WITH_BODY")).when(F.col("i") % 5 == 1, F.lit("TABLE_CONTEXT")).otherwise(F.lit("PARAGRAPH"))
+    b = b.select("text", heading.alias("heading"), kind.alias("kind"), F.col("text").rlike(r"^\s*[-*•]").alias("item"))
+    b = b.withColumn("category", S.structured_category(F.col("text"), F.col("heading"), F.col("kind"), F.col("item")))
+    return b.groupBy("category", S.structured_action(F.col("category"), F.col("heading"), F.col("kind")).alias("action")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query(

@@ -67,7 +67,7 @@ def header_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
       trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS normal_form, CASE WHEN length(text) > 320 THEN rtrim(text[1:320], ' ') || '…' ELSE text END AS truncated
     FROM (SELECT doc_id, text, CASE WHEN len(w) < 4 THEN [] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END AS g,
       list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p
-      FROM (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents))""",
+      FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents))""",
 )
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
