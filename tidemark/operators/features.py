@@ -15,9 +15,13 @@ MATCHED = ("UNCHANGED", "LIGHTLY_MODIFIED", "SUBSTANTIALLY_MODIFIED")
 LOW_WORDS, COVERAGE = 40, 0.80
 
 
-def row_weight(earlier: Column, later: Column) -> Column:
-    """Mean of both sides' words if matched, else those of the one side."""
-    return F.when(earlier.isNotNull() & later.isNotNull(), (earlier + later) / 2.0).otherwise(F.coalesce(earlier, later).cast("double"))
+def row_weight(status: Column, earlier: Column, later: Column) -> Column:
+    """Words that a row adds to its status: the later side's if new, the earlier's if removed, the one that is there if
+    ambiguous (the earlier of two), else the mean of those that are there; 0 without any.
+    """
+    mean = F.when(earlier.isNotNull() & later.isNotNull(), (earlier + later) / 2.0).otherwise(F.coalesce(earlier, later))
+    words = F.when(status == "NEW", later).when(status == "REMOVED", earlier).when(status == "AMBIGUOUS", F.coalesce(earlier, later)).otherwise(mean)
+    return F.coalesce(words.cast("double"), F.lit(0.0))
 
 
 def eligible(earlier: Column, later: Column) -> Column:
@@ -27,7 +31,7 @@ def eligible(earlier: Column, later: Column) -> Column:
 
 def outcomes(rows: DataFrame, key: list[str], status: str = "status", earlier: str = "earlier_words", later: str = "later_words") -> DataFrame:
     """Counts and words of each status for a key, all rows and eligible ones, in one pre-aggregated pass."""
-    w, ok = row_weight(F.col(earlier), F.col(later)), eligible(F.col(earlier), F.col(later))
+    w, ok = row_weight(F.col(status), F.col(earlier), F.col(later)), eligible(F.col(earlier), F.col(later))
     each = []
     for s in WEIGHTS:
         hit, name = F.col(status) == s, s.lower()
@@ -51,7 +55,10 @@ def score(shares: dict[str, Column], coverage: Column) -> Column:
 
 
 def coverage(rows: DataFrame, key: list[str], status: str = "status", earlier: str = "earlier_words", later: str = "later_words") -> DataFrame:
-    """Words of aligned sides over all words, both sides added, and the same in passages."""
+    """Words of matched sides over all words of the rows, both sides added, and the same in passages.
+
+    What share of all passages the rows represent is a measure of the full build (pair_build).
+    """
     on = F.col(status).isin(*MATCHED)
     sides = F.array(F.col(earlier), F.col(later))
     words = F.coalesce(sides[0], F.lit(0)) + F.coalesce(sides[1], F.lit(0))

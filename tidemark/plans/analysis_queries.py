@@ -156,7 +156,7 @@ def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _score_sql() -> str:
-    weight = "CASE WHEN earlier_words IS NOT NULL AND later_words IS NOT NULL THEN (earlier_words + later_words) / 2.0 ELSE coalesce(earlier_words, later_words)::DOUBLE END"
+    weight = "CASE WHEN status = 'NEW' THEN later_words WHEN status = 'REMOVED' THEN earlier_words WHEN status = 'AMBIGUOUS' THEN coalesce(earlier_words, later_words) ELSE (earlier_words + later_words) / 2.0 END::DOUBLE"
     ok = "(coalesce(earlier_words >= 40, true) AND coalesce(later_words >= 40, true))"
     words = ", ".join(f"coalesce(sum({weight}) FILTER (status = '{s}' AND {ok}), 0) AS {s.lower()}" for s in C.WEIGHTS)
     counts = ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}_count" for s in C.WEIGHTS)

@@ -89,7 +89,7 @@ def first_seen_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variant_sql() -> str:
-    weight = "CASE WHEN earlier_words IS NOT NULL AND later_words IS NOT NULL THEN (earlier_words + later_words) / 2.0 ELSE coalesce(earlier_words, later_words)::DOUBLE END"
+    weight = "CASE WHEN status = 'NEW' THEN later_words WHEN status = 'REMOVED' THEN earlier_words WHEN status = 'AMBIGUOUS' THEN coalesce(earlier_words, later_words) ELSE (earlier_words + later_words) / 2.0 END::DOUBLE"
     score = " + ".join(f"{w} * coalesce(sum({weight}) FILTER (status = '{s}'), 0)" for s, w in C.WEIGHTS.items())
     parts = {"A": "true", "B": "(earlier_words IS NULL OR earlier_words >= 80)", "C": "(later_words IS NULL OR later_words >= 90)"}
     selects = " UNION ALL ".join(f"SELECT pair, '{v}' AS variant, count(*) AS n, round(({score}) / sum({weight}), 6) AS score FROM rows WHERE {k} GROUP BY 1" for v, k in parts.items())
@@ -101,7 +101,7 @@ def feature_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change score after dropping rows in three ways, each row read once."""
     e, w = F.col("earlier_words"), F.col("later_words")
     v = S.variants(change_rows(spark, sf_dir), {"A": F.lit(True), "B": e.isNull() | (e >= 80), "C": w.isNull() | (w >= 90)})
-    weight = C.row_weight(e, w)
+    weight = C.row_weight(F.col("status"), e, w)
     factor = F.create_map(*[F.lit(x) for kv in C.WEIGHTS.items() for x in kv])[F.col("status")]
     return v.groupBy("pair", "variant").agg(F.count("*").alias("n"), F.round(F.sum(weight * factor) / F.sum(weight), 6).alias("score"))
 
