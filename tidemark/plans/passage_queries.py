@@ -73,8 +73,16 @@ def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("qa_chunks")
 def qa_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping windows with sentence snapping; the token count is injected, here one a word and six characters."""
-    return P.chunked(t(spark, sf_dir, "documents"), "doc_id", "text", lambda w: 1 + len(w) // 6)
+    """Chunks over the blocks of every document as passages; token counts are injected, here one a word and six characters."""
+    b = blocks_of(spark, sf_dir).where("block_type in ('PARAGRAPH', 'HEADING', 'LIST_ITEM')")
+    heading = F.when(F.col("block_type") == "HEADING", F.col("text"))
+    page = F.ceil(F.col("i") / 20).cast("int")
+    p = b.select("doc_id", "i", F.col("i").alias("id"), "text", heading.alias("heading"), page.alias("page_start"), page.alias("page_end"))
+
+    def word(w: str) -> int:
+        return 1 + len(w) // 6
+
+    return P.chunked(p, "doc_id", "i", word, lambda text: 2 + sum(map(word, text.split())))
 
 
 @query("text_diff")
