@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
 
-#: Label of each quality and confidence (fixed values).
-LABELS = {"GOOD": "Good", "USABLE": "Usable", "NEEDS_REVIEW": "Needs review", "FAILED": "Failed", "HIGH": "High", "MEDIUM": "Medium", "LOW": "Low"}
+#: Shown names of qualities, of those of attribution, and of confidences (fixed values).
+QUALITY_LABELS = {"GOOD": "Analysis ready", "USABLE": "Ready with caution", "NEEDS_REVIEW": "Review recommended", "FAILED": "Unavailable"}
+ATTRIBUTION_LABELS = {"GOOD": "Strong attribution", "USABLE": "Usable attribution", "NEEDS_REVIEW": "Attribution uncertain", "FAILED": "Attribution unavailable"}
+CONFIDENCE_LABELS = {"HIGH": "High confidence", "MEDIUM": "Medium confidence", "LOW": "Low confidence", "NEEDS_REVIEW": "Needs review"}
 
 
-def label(value: Column) -> Column:
+def label(value: Column, labels: dict[str, str] = QUALITY_LABELS) -> Column:
     """Shown name of a quality or confidence; null for an unknown one."""
     out = F.lit(None).cast("string")
-    for k, v in LABELS.items():
+    for k, v in labels.items():
         out = F.when(value == k, F.lit(v)).otherwise(out)
     return out
 

@@ -41,7 +41,7 @@ def language_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "alignment_audit",
     f"""WITH {SIGNALS_SQL} SELECT pair, count(*) FILTER (confidence = 'HIGH') AS high, count(*) FILTER (confidence = 'LOW') AS low, count(*) FILTER (contains(lower(status), 'mov')) AS moved, round(avg(positive), 4) AS mean_positive, round(100.0 * count(*) FILTER (status = 'UNCHANGED') / count(*), 4) AS percent_matched,
-      any_value(CASE pair % 4 WHEN 0 THEN 'Good' WHEN 1 THEN 'Usable' WHEN 2 THEN 'Needs review' ELSE NULL END) AS quality_label FROM sig GROUP BY pair""",
+      any_value(CASE pair % 4 WHEN 0 THEN 'Analysis ready' WHEN 1 THEN 'Ready with caution' WHEN 2 THEN 'Review recommended' ELSE NULL END) AS quality_label, any_value(CASE pair % 4 WHEN 0 THEN 'Strong attribution' WHEN 1 THEN 'Usable attribution' WHEN 2 THEN 'Attribution uncertain' ELSE NULL END) AS attribution_label FROM sig GROUP BY pair""",
 )
 def alignment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.get(F.array(F.lit("GOOD"), F.lit("USABLE"), F.lit("NEEDS_REVIEW"), F.lit("OTHER")), (F.col("pair") % 4).cast("int"))
@@ -49,7 +49,7 @@ def alignment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("confidence") == "HIGH").alias("high"), F.count_if(F.col("confidence") == "LOW").alias("low"), F.count_if(F.contains(F.lower("status"), F.lit("mov"))).alias("moved"), F.round(F.avg("positive"), 4).alias("mean_positive"),
         F.round(100.0 * F.count_if(F.col("status") == "UNCHANGED") / F.count("*"), 4).alias("percent_matched"),
     )
-    return a.withColumn("quality_label", S.label(quality))
+    return a.withColumn("quality_label", S.label(quality)).withColumn("attribution_label", S.label(quality, S.ATTRIBUTION_LABELS))
 
 
 @query(

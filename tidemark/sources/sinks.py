@@ -14,9 +14,33 @@ def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
 
 
 def publish(tables: dict[str, DataFrame], root: str, publication_id: str) -> None:
-    """One partition of each table for a publication; a rebuild replaces its own partition alone."""
+    """One partition of each table for a publication, seen as a whole or not at all.
+
+    All tables are written aside first; only when every one is complete are they put in place, each by a rename, and the
+    mark _PUBLISHED comes last. A failure before that leaves an earlier build of the same publication as it was; a failure
+    between the renames leaves no mark, and the rebuild replaces what is there. Readers ask `published` for the mark.
+    """
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/publication_id={publication_id}")
+        df.write.mode("overwrite").parquet(f"{root}/_aside/{publication_id}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = path(f"{root}/_PUBLISHED/{publication_id}")
+    fs.delete(mark, True)
+    for name in tables:
+        to = path(f"{root}/{name}/publication_id={publication_id}")
+        fs.delete(to, True)
+        fs.mkdirs(to.getParent())
+        if not fs.rename(path(f"{root}/_aside/{publication_id}/{name}"), to):
+            raise OSError(f"{name} of publication {publication_id} can't be put in place")
+    fs.delete(path(f"{root}/_aside/{publication_id}"), True)
+    fs.create(mark, True).close()
+
+
+def published(spark: SparkSession, root: str, publication_id: str) -> bool:
+    """Whether every table of a publication is in place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return bool(path(root).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(f"{root}/_PUBLISHED/{publication_id}")))
 
 
 def activated(state: DataFrame, publication_id: str) -> DataFrame:
