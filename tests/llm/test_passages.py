@@ -108,3 +108,27 @@ def test_recall_of_near_passages_against_brute_force(spark):
                     want |= {k, k + 1}
     found = {r.doc_id for r in substring.repeated_passages(frame(spark, texts)).collect()}
     assert len(want) > 60 and found <= set(range(len(texts))) and len(found & want) >= 0.9 * len(want)
+
+
+def test_pairs_of_blocks_are_written_to_few_files(spark, monkeypatch):
+    """op10_substring_dedup: the many tasks of a large group leave one file, and the rows are those of whole groups."""
+    rng = random.Random(20)
+    p = prose(rng, 60).split()
+    texts = []
+    for i in range(40):
+        q = list(p)
+        q[rng.randrange(60)] = f"w{i}"
+        texts.append(" ".join([prose(rng, 5), *q, prose(rng, 5)]))
+    docs = frame(spark, texts)
+    whole = sorted(map(tuple, substring.repeated_passages(docs).collect()))
+    files = {}
+
+    def spy(df, tag, *more, write=substring.written):
+        out = write(df, tag, *more)
+        files[tag] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(substring, "GROUP", 4)
+    monkeypatch.setattr(substring, "written", spy)
+    assert sorted(map(tuple, substring.repeated_passages(docs).collect())) == whole
+    assert whole and files["found"] == 1

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_group, components, discard, lean, small_side, written
+from .common import PART_ROWS, by_group, components, discard, lean, small_side, written
 from .kernels import U, pieces, shingle_at, splitmix, stream, text_buffers, words
 
 #: Hash functions; words of a passage; its tokens; tokens that must agree.
@@ -390,7 +390,9 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     dealt = reps.join(blocks, "value").withColumn("block", F.pmod("id", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("value", F.least("block", "other"), F.greatest("block", "other")).alias("pair")
     dealt = dealt.select(pair, (F.col("block") == F.col("other")).alias("diagonal"), (F.col("block") > F.col("other")).alias("right"), "id", "least", "most", "around", "from_", "to_")
-    found = written(by_group(dealt, "pair", _block_pairs, "id long, start int, stop int, root long", rows=2048, order=("id",), parts=int(min(MOST_PARTS, max(1, pairs)))), "found")
+    found = by_group(dealt, "pair", _block_pairs, "id long, start int, stop int, root long", rows=2048, order=("id",), parts=int(min(MOST_PARTS, max(1, pairs))))
+    # many short tasks, but few files: on a local disk Hadoop starts three processes for each file that an executor writes
+    found = written(found.repartition(int(max(1, min(MOST_PARTS, -(-pairs * 2 * GROUP // PART_ROWS))))), "found")
     label = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "classes").withColumnRenamed("component", "class")
     named = written(reps.select("id", "least").join(label, "id", "left").withColumn("class", F.coalesce("class", "id")), "named")
     rep = named.groupBy("class").agg(F.min("least").alias("rep"))
