@@ -6,6 +6,7 @@ from base64 import b32encode
 from hashlib import sha1
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,35 @@ def test_pipeline(spark, tmp_path):
     assert "abcdefghijk" not in docs.where("doc_id = 25").first().text
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == left[-1]
+
+
+def _batches(docs):
+    """(rows, bytes) of each batch that Python gets."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    return [tuple(r) for r in docs.mapInArrow(run, "n long, size long").collect()]
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "decontamination", "packing"])
+def test_pipeline_bounds_the_batches_of_python(spark, tmp_path, name):
+    import corpus_pipeline
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    stage = dict(corpus_pipeline.STAGES)[name]
+    few = spark.createDataFrame([(1, "one text of a few words", "en", "s", 23)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("0123456789"), 400).alias("text"))
+    known = spark.conf.getAll.get(bound)
+    try:
+        spark.conf.unset(bound)
+        stage(spark, few, str(tmp_path))
+        got = _batches(wide)
+        assert sum(n for n, _ in got) == 4000 and max(size for _, size in got) <= 4 << 20
+        spark.conf.set(bound, "300000")  # the session's own bound stays
+        stage(spark, few, str(tmp_path))
+        assert max(size for _, size in _batches(wide)) < 400_000
+    finally:
+        spark.conf.unset(bound) if known is None else spark.conf.set(bound, known)
