@@ -12,7 +12,7 @@ from tidemark.operators import runs
 from tidemark.operators import structure as S
 from tidemark.operators import windows as W
 
-from .passage_queries import LINES_SQL, blocks_of
+from .passage_queries import LINES_SQL, lines_of
 from .registry import query
 from .relational_queries import t
 
@@ -48,7 +48,7 @@ def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, count(*) FILTER (band = 'header' AND n >= greatest(2, round_even(pages * 0.6, 0))) AS headers, count(*) FILTER (band = 'footer' AND n >= greatest(2, round_even(pages * 0.6, 0))) AS footers, count(*) AS blocks FROM b LEFT JOIN o USING (source, band, norm) JOIN g USING (source) GROUP BY 1""",
 )
 def recurring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = blocks_of(spark, sf_dir).join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("top", F.col("i") - 1).withColumn("height", F.count("*").over(Window.partitionBy("doc_id")))
+    b = lines_of(spark, sf_dir).join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("top", F.col("i") - 1).withColumn("height", F.count("*").over(Window.partitionBy("doc_id")))
     e = S.recurring_edges(b, "source", "doc_id", "top", "height", "text")
     return e.groupBy("source").agg(F.count_if("is_header").alias("headers"), F.count_if("is_footer").alias("footers"), F.count("*").alias("blocks"))
 
@@ -94,7 +94,7 @@ SELECT category, CASE WHEN category = 'short_fragment_invalid' THEN CASE WHEN re
 @query("structured_categories", CATEGORY_SQL)
 def structured_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured-content category of every line as a passage; every seventh has a heading of its first two characters."""
-    b = blocks_of(spark, sf_dir)
+    b = lines_of(spark, sf_dir)
     seventh = F.col("i") % 7 == 0
     heading = F.when(seventh, F.left(F.trim("text"), F.lit(2)))
     kind = F.when(seventh, F.lit("HEADING_WITH_BODY")).when(F.col("i") % 5 == 1, F.lit("TABLE_CONTEXT")).otherwise(F.lit("PARAGRAPH"))
@@ -189,7 +189,7 @@ def indexed_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) FILTER (n IS NULL) AS omitted, count(*) FILTER (n > 1) AS duplicated, CASE WHEN count(*) FILTER (n IS NULL OR n > 1) > 0 THEN 'FAILED' ELSE 'PASSED' END AS verdict FROM b LEFT JOIN (SELECT doc_id, i, count(*) AS n FROM u GROUP BY 1, 2) USING (doc_id, i) GROUP BY 1""",
 )
 def provenance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = blocks_of(spark, sf_dir).select("doc_id", "i", T.word_count(F.col("text")).alias("words"))
+    b = lines_of(spark, sf_dir).select("doc_id", "i", T.word_count(F.col("text")).alias("words"))
     sources = b.where("i % 10 <> 0").select("doc_id", "i").unionByName(b.where("i = 7").select("doc_id", "i"))
     p = S.provenance(b, sources, "doc_id", "i", "words", b.groupBy("doc_id").agg(F.sum("words").alias("passage_words")))
     return p.select("doc_id", "omitted", "duplicated", "verdict")
