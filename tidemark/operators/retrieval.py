@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Items and questions of a block that are compared with each other, about; digits by which similarities are ranked.
+ITEMS, ASKED, DIGITS = 4_096, 512, 9
+
 
 def fused(lexical: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two (id, rank) lists; of a repeated id the last rank counts. Ties go to the smaller id."""
@@ -67,3 +74,58 @@ def index_recall(vectors: DataFrame, queries: int, at: tuple[int, ...], length:
     hits = exact.join(top(near).select("q", "id", F.col("rank").alias("found")), ["q", "id"], "left")
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.avg(F.when(F.col("rank") <= k, (F.coalesce("found", F.lit(2**31)) <= k).cast("double"))).alias("recall")) for k in at])
     return hits.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.k", F.round("r.recall", 6).alias("recall"))
+
+
+def _best(own: int, x: np.ndarray | None, ids: np.ndarray, v: np.ndarray, odd: list[tuple], near: np.ndarray, norms: np.ndarray, most: int) -> list[tuple]:
+    """The most rows (id, similarity) for one question; near has similarities up to rounding, by which few rows are chosen."""
+    if x is None:
+        return [(i, None) for i in sorted({*ids.tolist(), *(i for i, _ in odd)} - {own})[:most]]
+    there = np.flatnonzero(ids != own)
+    if len(there) > most:
+        least = np.partition(near[there], len(there) - most)[len(there) - most]
+        there = there[near[there] >= least - 1e-8]
+    found = [(i, None) for i, _ in odd if i != own]
+    if len(there):
+        # one product after the other, as a fold over the components adds them
+        exact = np.cumsum(x * v[there], axis=1)[:, -1] / (np.sqrt(np.cumsum(x * x)[-1]) * norms[there])
+        found += zip(ids[there].tolist(), exact.tolist(), strict=True)
+    step = Decimal(1).scaleb(-DIGITS)
+    rounded = {s: Decimal(repr(s)).quantize(step, ROUND_HALF_UP) for _, s in found if s is not None}
+    return sorted(found, key=lambda r: (r[1] is None, 0 if r[1] is None else -rounded[r[1]], r[0]))[:most]
+
+
+def nearest_within(asked: DataFrame, items: DataFrame, group: str, most: int) -> DataFrame:
+    """(q, id, similarity) of the most similar items by cosine for each question in its group, ties by id; exact.
+
+    asked: q, group, e; items: id, group, e, with a finite cosine or none. Every item of a group is compared with every
+    question of it, so the work is quadratic in a group; it is dealt out in blocks of about ITEMS by ASKED, of which each
+    passes on its best rows alone. Vectors that are null, empty, zero or of another length have no similarity and come last.
+    """
+    sizes = items.groupBy(group).agg(F.ceil(F.count("*") / ITEMS).alias("_n")).join(asked.groupBy(group).agg(F.ceil(F.count("*") / ASKED).alias("_m")), group)
+    block = [group, "_v", "_q"]
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    v = items.join(sizes, group).select(group, F.pmod(F.xxhash64("id"), "_n").alias("_v"), upto("_m").alias("_q"), "id", "e")
+    a = asked.join(sizes, group).select(group, upto("_n").alias("_v"), F.pmod(F.xxhash64("q"), "_m").alias("_q"), "q", "e")
+
+    def plain(e: object) -> np.ndarray | None:
+        x = None if e is None else np.asarray(e, dtype=np.float64)  # null components become nan
+        return None if x is None or not len(x) or np.isnan(x).any() or not x.any() else x
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        given = list(zip(right["id"].tolist(), (plain(e) for e in right["e"]), strict=True))
+        questions = list(zip(left["q"].tolist(), (plain(e) for e in left["e"]), strict=True))
+        for size in {0 if x is None else len(x) for _, x in questions}:
+            own = [(q, x) for q, x in questions if (0 if x is None else len(x)) == size]
+            same, odd = [r for r in given if r[1] is not None and len(r[1]) == size], [r for r in given if r[1] is None or len(r[1]) != size]
+            ids, m = np.array([i for i, _ in same], dtype=np.int64), np.array([x for _, x in same]).reshape(len(same), size)
+            norms = np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) if len(same) else np.zeros(0)
+            scaled = m / norms[:, None] if len(same) else m
+            for q, x in own:
+                near = scaled @ (x / np.sqrt(x @ x)) if x is not None else norms
+                rows += [(q, i, s) for i, s in _best(q, x, ids, m, odd, near, norms, most)]
+        return pd.DataFrame({"q": pd.Series([r[0] for r in rows], dtype="int64"), "id": pd.Series([r[1] for r in rows], dtype="int64"), "similarity": pd.Series([r[2] for r in rows], dtype="object")})
+
+    found = a.groupBy(*block).cogroup(v.groupBy(*block)).applyInPandas(run, "q long, id long, similarity double")
+    n = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("similarity", F.round("similarity", DIGITS)).withColumn("_r", n).where(F.col("_r") <= most).drop("_r")

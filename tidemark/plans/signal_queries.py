@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
 from tidemark.operators import features as C
 from tidemark.operators import passages as P
+from tidemark.operators import retrieval as R
 from tidemark.operators import signals as S
 
 from .analysis_queries import ROWS_SQL, change_rows
@@ -168,14 +168,13 @@ def chunk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunks of each question without overlapping ones; sequential choice over at most 25, tested on literals."""
     v = t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"), F.col("label").alias("company"))
-    hits = asked.join(v.withColumnRenamed("label", "company"), "company").where("q <> vec_id").select("q", F.col("vec_id").alias("chunk_id"), F.round(N.cosine(F.col("e"), F.col("embedding")), 9).alias("similarity"))
-    top = hits.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "chunk_id"))).where("n <= 25")
+    top = R.nearest_within(asked, v.select(F.col("vec_id").alias("id"), F.col("label").alias("company"), F.col("embedding").alias("e")), "company", 25)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        items = [{"chunk_id": int(c), "similarity": float(s), "report_id": int(c) // 10, "members": [int(c) // 2], "chunk_index": int(c) % 10, "page_start": 3 * (int(c) % 10), "page_end": 3 * (int(c) % 10)} for c, s in zip(g["chunk_id"], g["similarity"], strict=True)]
-        return pd.DataFrame([(g["q"].iloc[0], x["chunk_id"], i + 1) for i, x in enumerate(P.first_kept(items, 5))], columns=["q", "chunk_id", "place"])
+    def run(rows: list[dict]) -> list[tuple]:
+        items = [{"chunk_id": c, "similarity": float("-inf") if s is None else s, "report_id": c // 10, "members": [c // 2], "chunk_index": c % 10, "page_start": 3 * (c % 10), "page_end": 3 * (c % 10)} for c, s in ((r["id"], r["similarity"]) for r in rows)]
+        return [(x["chunk_id"], i + 1) for i, x in enumerate(P.first_kept(items, 5))]
 
-    return top.groupBy("q").applyInPandas(run, "q long, chunk_id long, place int")
+    return P.grouped(top, "q", ["id"], run, "q long, chunk_id long, place int")
 
 
 @query(
