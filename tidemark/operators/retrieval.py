@@ -105,7 +105,7 @@ def nearest_within(asked: DataFrame, items: DataFrame, group: str, most: int) ->
     block = [group, "_v", "_q"]
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     v = items.join(sizes, group).select(group, F.pmod(F.xxhash64("id"), "_n").alias("_v"), upto("_m").alias("_q"), "id", "e")
-    a = asked.join(sizes, group).select(group, upto("_n").alias("_v"), F.pmod(F.xxhash64("q"), "_m").alias("_q"), "q", "e")
+    a = asked.join(sizes, group).select(F.col(group).alias(group), upto("_n").alias("_v"), F.pmod(F.xxhash64("q"), "_m").alias("_q"), F.col("q").alias("q"), F.col("e").alias("e"))  # columns of its own, where both come from one table
 
     def plain(e: object) -> np.ndarray | None:
         x = None if e is None else np.asarray(e, dtype=np.float64)  # null components become nan
