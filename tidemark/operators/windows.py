@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,18 @@ def beside_tables(blocks: DataFrame, part: list[str], order: str, is_table: Colu
 
 
 def discovery_ranks(items: DataFrame, scopes: dict[str, list[str]], signal: str, magnitude: str, item: str, top: int = 20) -> DataFrame:
-    """Items by signal in each scope: largest magnitude first, ties by id; the percentile counts the whole pool."""
+    """Items by signal in each scope: largest magnitude first, ties by id; the percentile counts the whole pool.
+
+    Pools are counted apart, so that each task passes on its best rows alone and a signal with many items isn't gathered.
+    """
     out = None
     for scope, keys in scopes.items():
         key = F.concat_ws("|", F.lit(scope), *[F.col(k).cast("string") for k in keys])
-        w = Window.partitionBy(signal, *keys)
-        ranked = items.withColumn("rank_scope", key).withColumn("rank", F.row_number().over(w.orderBy(F.desc(magnitude), F.col(item).cast("string"))).cast("long")).withColumn("pool", F.count("*").over(w))
-        ranked = ranked.where(F.col("rank") <= top).withColumn("percentile", 100.0 * (F.col("pool") - F.col("rank") + 1) / F.col("pool"))
+        w = Window.partitionBy(signal, *keys).orderBy(F.desc(magnitude), F.col(item).cast("string"))
+        best = items.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+        pools = items.groupBy(*[F.col(k).alias(f"_{k}") for k in (signal, *keys)]).agg(F.count("*").alias("pool"))
+        ranked = best.join(pools, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (signal, *keys)])).drop(*[f"_{k}" for k in (signal, *keys)])
+        ranked = ranked.withColumn("rank_scope", key).withColumn("percentile", 100.0 * (F.col("pool") - F.col("rank") + 1) / F.col("pool"))
         out = ranked if out is None else out.unionByName(ranked)
     return out
 
