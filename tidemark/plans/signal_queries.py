@@ -120,10 +120,13 @@ def side_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH c AS (SELECT o_orderkey, o_custkey AS e, o_orderkey % 500 AS l, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')) SELECT o_orderkey, 'Earlier: ' || a.text || chr(10) || chr(10) || 'Later: ' || b.text AS chunk FROM c JOIN documents a ON a.doc_id = c.e JOIN documents b ON b.doc_id = c.l""",
 )
 def comparison_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides' texts of a comparison in one chunk; a comparison without both gives none."""
+    """Both sides' texts of a comparison in one chunk; a comparison without both gives none.
+
+    Later documents are few by the query itself (ids under 500) and are sent to every task, so a chunk's text is never shuffled.
+    """
     c = t(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')").select("o_orderkey", F.col("o_custkey").alias("e"), (F.col("o_orderkey") % 500).alias("l"))
     d = t(spark, sf_dir, "documents").select("doc_id", "text")
-    j = c.join(d.select(F.col("doc_id").alias("e"), F.col("text").alias("et")), "e").join(d.select(F.col("doc_id").alias("l"), F.col("text").alias("lt")), "l")
+    j = c.join(d.select(F.col("doc_id").alias("e"), F.col("text").alias("et")), "e").join(F.broadcast(d.where("doc_id > -500 and doc_id < 500").select(F.col("doc_id").alias("l"), F.col("text").alias("lt"))), "l")
     return j.select("o_orderkey", F.concat(F.lit("Earlier: "), "et", F.lit("\n\nLater: "), "lt").alias("chunk"))
 
 
